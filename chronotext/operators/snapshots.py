@@ -132,6 +132,7 @@ def snapshot_changes(
     ).where("doc IS NOT NULL AND snap IS NOT NULL")
     slim = everything.select("doc", "snap", "delivered", "number", row_hash(F.col("text")).alias("hash"), "score")
     kept, snaps = _current(slim)
+    kept = materialize(kept)
 
     new_side = kept.select("doc", "snap", "number", "hash", F.col("score").alias("new_score"), F.lit(True).alias("is_new"))
     old_side = kept.where("next IS NOT NULL").select("doc", F.col("next").alias("snap"), "number", "hash", F.col("score").alias("old_score"), F.lit(True).alias("is_old"))

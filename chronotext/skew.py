@@ -23,15 +23,17 @@ def hot_keys(rows: DataFrame, on: Sequence[str], min_rows: int = MIN_HOT_ROWS) -
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], spread: Column, how: str = "inner", min_rows: int = MIN_HOT_ROWS
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread: Column, how: str = "inner", min_rows: int = MIN_HOT_ROWS,
+    sizes_of: DataFrame | None = None,
 ) -> DataFrame:
     """``left JOIN right USING (on)`` where ``left`` may have hot keys and ``right`` has few rows a key.
 
     The left rows of a hot key are spread over ``_salts`` tasks by the hash of ``spread`` (a column that differs between
     them), and only for those keys are the right rows repeated. ``how`` is inner, left or left_anti/left_semi.
+    ``sizes_of``: the rows whose keys are counted, where the left ones are dear to make and another table tells as much.
     """
     on = list(on)
-    hot = hot_keys(left, on, min_rows)
+    hot = hot_keys(left if sizes_of is None else sizes_of, on, min_rows)
     salted = (
         left.join(F.broadcast(hot), on, "left")
         .withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int")))
