@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import neardup
+from chronotext.llm import knn, neardup
 
 
 def _rule_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -27,5 +27,10 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select(F.col("id").alias("rule_id"), "class_id", "links")
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of content hashes whose vectors are among each other's most similar."""
+    return knn.nearest(spark.read.parquet(f"{sf_dir}/embedding_cache.parquet"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found}
 SQL: dict[str, str] = {}
