@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import knn, neardup
+from chronotext.llm import knn, leaks, neardup, tokens
 
 
 def _rule_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -32,5 +32,27 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(spark.read.parquet(f"{sf_dir}/embedding_cache.parquet"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return tokens.token_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id=F.col("doc_id"), text=F.col("text"))
+
+
+def _leak_inputs(spark: SparkSession, sf_dir: str) -> dict:
+    return {
+        "documents": spark.read.parquet(f"{sf_dir}/documents.parquet"), "items": spark.read.parquet(f"{sf_dir}/eval_items.parquet"),
+        "doc_id": F.col("doc_id"), "text": F.col("text"), "item_id": F.col("item_id"), "item_text": F.col("text"),
+    }
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of held-out items."""
+    return leaks.leaks(**_leak_inputs(spark, sf_dir))
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where those passages stand in the documents."""
+    return leaks.leak_spans(**_leak_inputs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p3_found, p6_ids, p7_found, p7_spans)}
 SQL: dict[str, str] = {}
