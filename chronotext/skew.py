@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronotext.session import materialize
+
 #: A key is hot when it has more rows than a task's fair share; below this many rows none is.
 MIN_HOT_ROWS = 20_000
 #: Fair shares per shuffle partition. It bounds the table of hot keys: at most PARTS * SHARES rows can exceed total / (PARTS * SHARES).
@@ -30,15 +32,15 @@ def salted_join(
 
     The left rows of a hot key are spread over ``_salts`` tasks by the hash of ``spread`` (a column that differs between
     them), and only for those keys are the right rows repeated. ``how`` is inner, left or left_anti/left_semi.
-    ``sizes_of``: the rows whose keys are counted, where the left ones are dear to make and another table tells as much.
+    The hot keys are found first, in a job of
+    their own; without any the join is a plain one. ``sizes_of``: the rows whose keys are counted, where the left ones are dear to make and another table tells as much.
     """
     on = list(on)
-    hot = hot_keys(left if sizes_of is None else sizes_of, on, min_rows)
-    salted = (
-        left.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int")))
-        .drop("_salts")
-    )
+    hot = materialize(hot_keys(left if sizes_of is None else sizes_of, on, min_rows))
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"))
+    salted = left.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_salts")
     repeated = (
         right.join(F.broadcast(hot), on, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
