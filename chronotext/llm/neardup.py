@@ -44,7 +44,7 @@ def text_classes(texts: DataFrame, *, row_id: Column, text: Column, min_words: i
     classes = materialize(classes.select("key", "class_id", F.size("grams").alias("n"), "grams"))
     members = salted_join(sets.select("id", "key").distinct(), classes.select("key", "class_id"), ["key"], F.col("id"))
     # One id may stand in two classes (two texts under one id); a class id is then made distinct by its key.
-    return members.select("id", "class_id", "key"), classes
+    return materialize(members.select("id", "class_id", "key")), classes
 
 
 def _signature() -> list[Column]:
@@ -87,16 +87,17 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     b = classes.select(F.col("key").alias("key_b"), F.col("grams").alias("gb"))
     both = candidates.join(a, "key_a").withColumn("both", F.lit(0)).join(b, "key_b").withColumn("both", F.size(F.array_intersect("ga", "gb")))
     sim = F.col("both") / (F.size("ga") + F.size("gb") - F.col("both"))
-    return both.withColumn("sim", sim).where(F.col("sim") >= threshold).select("key_a", "key_b", "sim")
+    return materialize(both.withColumn("sim", sim).where(F.col("sim") >= threshold).select("key_a", "key_b", "sim"))
 
 
 def near_copies(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """``a`` < ``b``: every two ids whose texts are similar, class mates included. The result is as large as the pairs that exist."""
-    left = members.select(F.col("key").alias("key_a"), F.col("id").alias("x"))
-    right = members.select(F.col("key").alias("key_b"), F.col("id").alias("y"))
-    linked = pairs.select("key_a", "key_b")
-    across = salted_join(salted_join(left, linked, ["key_a"], F.col("x")), right, ["key_b"], F.col("x"))
-    mates = salted_join(left, right.withColumnRenamed("key_b", "key_a"), ["key_a"], F.col("x")).where("x < y")
+    x = members.select(F.col("key").alias("key_a"), F.col("id").alias("x"))
+    y = members.select(F.col("key").alias("key_b"), F.col("id").alias("y"))
+    # Only a class may have many members; they are the side that is spread.
+    half = salted_join(x, pairs.select("key_a", "key_b"), ["key_a"], F.col("x"))
+    across = salted_join(y, half, ["key_b"], F.col("y"))
+    mates = salted_join(x, y.withColumnRenamed("key_b", "key_a"), ["key_a"], F.col("x")).where("x < y")
     found = across.select("x", "y").unionByName(mates.select("x", "y")).where("x <> y")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
