@@ -3,7 +3,7 @@
 Each of ``TABLES`` tables cuts ``k`` Gaussian (2-stable) projections of the unit vectors into slots of ``WIDTH``. A vector
 is filed in its own bucket of each table and visits, besides it, the buckets that are most likely to hold its neighbours:
 those across the nearest slot borders, in the order of the estimated success. What is met there is sieved by the distance
-of 128-bit signatures (with a margin of four standard deviations) and then compared exactly.
+of signatures of random signs (with a margin) and then compared exactly.
 
 ``k`` grows with the logarithm of the largest group, so that the buckets stay about as full, and the number of tables with
 the power ``GROWTH`` of it, as the theory of such tables has it. Recall is measured in tests against brute force.
@@ -14,10 +14,11 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext.session import materialize
@@ -25,12 +26,13 @@ from chronotext.skew import fits, salted_join
 
 WIDTH = 1.6
 TABLES = 4
-PROBES = 4
+PROBES = 3
 #: Rows that a bucket should hold, and the chance that two random unit vectors share a slot of WIDTH (measured).
 OCCUPANCY = 22
 SLOT_CHANCE = 0.426
 GROWTH = 0.2
-BITS = 128
+#: Bits of a signature, and how many standard deviations its distance may exceed that of the least similar pair wanted.
+BITS, MARGIN = 192, 3.5
 SEED = 20261127
 #: Copies of one vector form a class; so many members of it (one more than TOP) are all that a neighbour can need.
 TOP = 5
@@ -88,7 +90,7 @@ def _signatures(unit: np.ndarray) -> np.ndarray:
 
 
 def _post(rows: DataFrame, k: int, tables: int, probes: int, home: bool) -> DataFrame:
-    """``bucket``, ``id``, ``s0``, ``s1``: where each vector is filed (``home``), or which buckets it visits."""
+    """``bucket``, ``id`` and the signature ``s0``, ...: where each vector is filed (``home``), or which buckets it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,10 +106,10 @@ def _post(rows: DataFrame, k: int, tables: int, probes: int, home: bool) -> Data
             each = buckets.shape[1]
             yield pa.RecordBatch.from_pydict({
                 "bucket": buckets.view(np.int64).ravel(), "id": np.repeat(ids, each),
-                "s0": np.repeat(marks[:, 0], each), "s1": np.repeat(marks[:, 1], each),
+                **{f"s{i}": np.repeat(marks[:, i], each) for i in range(BITS // 64)},
             })
 
-    return rows.select("id", "grp", "embedding").mapInArrow(run, "bucket long, id long, s0 long, s1 long")
+    return rows.select("id", "grp", "embedding").mapInArrow(run, "bucket long, id long, " + ", ".join(f"s{i} long" for i in range(BITS // 64)))
 
 
 def usable(cache: DataFrame, dims: int) -> DataFrame:
@@ -148,11 +150,11 @@ def nearest(cache: DataFrame, *, dims: int = 64, top: int = TOP, min_cosine: flo
 
     home = materialize(_post(indexed, k, tables, 0, home=True))
     visits = _post(indexed, k, tables, PROBES, home=False)
-    filed = home.select("bucket", F.col("id").alias("other"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+    filed = home.select("bucket", F.col("id").alias("other"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(BITS // 64)])
     met = salted_join(visits, filed, ["bucket"], F.col("id"), sizes_of=home)
     chance = math.acos(min_cosine) / math.pi
-    most = math.ceil(BITS * chance + 4 * math.sqrt(BITS * chance * (1 - chance)))
-    apart = F.bit_count(F.expr("s0 ^ t0")) + F.bit_count(F.expr("s1 ^ t1"))
+    most = math.ceil(BITS * chance + MARGIN * math.sqrt(BITS * chance * (1 - chance)))
+    apart = reduce(Column.__add__, [F.bit_count(F.expr(f"s{i} ^ t{i}")) for i in range(BITS // 64)])
     met = met.where((F.col("id") != F.col("other")) & (apart <= most))
     pairs = materialize(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
 
