@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import knn, leaks, neardup, tokens
+from chronotext.llm import defects, knn, leaks, neardup, tokens, toxicity
 
 
 def _rule_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -54,5 +54,34 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leak_spans(**_leak_inputs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p3_found, p6_ids, p7_found, p7_spans)}
+def p2_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every generation with all its defects and their posteriors."""
+    return defects.defects(spark.read.parquet(f"{sf_dir}/generations.parquet"), spark.read.parquet(f"{sf_dir}/rulings.parquet"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective generations with the first defect that fits."""
+    return p2_labels(spark, sf_dir).where("size(labels) > 0").select("gen_id", F.col("labels")[0].alias("defect"))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score for abusive content; from 0 on it is a case."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.fit(documents, spark.read.parquet(f"{sf_dir}/doc_labels.parquet"))
+    return toxicity.score(documents, model)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual passages."""
+    return p8_scores(spark, sf_dir).where("score >= 0").select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of such documents in every source."""
+    return toxicity.rates(p8_scores(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (
+    p1_found, p1_classes, p2_found, p2_labels, p3_found, p6_ids, p7_found, p7_spans, p8_found, p8_scores, p8_rates,
+)}
 SQL: dict[str, str] = {}
