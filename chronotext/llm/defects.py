@@ -39,7 +39,7 @@ UNWILLING = re.compile(
     r"|\bas an? (?:ai|language model|assistant)\b|\bnot allowed to (?:answer|discuss|rule|say)|\bwhat i'?m allowed\b|\brefuse to (?:answer|rule|comment|say)|\b(?:have to|must|will|'ll) (?:pass on|skip) (?:this|that)|\bagainst my (?:guidelines|policy|policies|rules|instructions|programming)", re.I)
 ELSEWHERE = re.compile(r"\b(?:please )?(?:consult|ask|contact|refer to|look at|check)\b[^.]{0,40}\b(?:judge|rulebook|staff|official|officials)\b|\bmatter for (?:the|a) (?:head )?judge", re.I)
 FOREIGN_REFUSAL = re.compile(
-    r"\bno puedo (?:responder|contestar|ayudar|decir|opinar|dar)|\bno contienen la respuesta|\bprefiero no\b|\b(?:no me es|me es im)posible\b|\bmejor no\b|\bno s\u00e9\b|\bmodelo de (?:lenguaje|linguagem)"
+    r"\bno puedo (?:responder|contestar|ayudar|decir|opinar|dar)|\bno contienen la respuesta|\bprefiero no\b|\b(?:no me es posible|me es imposible)\b|\bmejor no\b|\bno s\u00e9\b|\bmodelo de (?:lenguaje|linguagem)"
     r"|\bne (?:peux|puis|pouvons) pas (?:r\u00e9pondre|aider|dire|donner)|\bne permettent pas\b|\bmod\u00e8le de langage|\bje ne sais pas|\b(?:m'est|il est) impossible de\b|\bje pr\u00e9f\u00e8re ne pas"
     r"|\bnichts sagen\b|\bnicht (?:beantworten|sagen|helfen|entscheiden)\b|\bwei\u00df (?:ich|es) nicht|\bsprachmodell\b|\bmir nicht möglich\b|\blieber nicht\b|\bkeine (?:auskunft|antwort|angabe)"
     r"|\bn\u00e3o (?:posso|sei|consigo) ?(?:responder|ajudar|dizer)?|\bprefiro n\u00e3o|\bnon (?:posso|so|sono in grado)\b|\bpreferisco non\b"
