@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext.session import materialize
@@ -52,3 +52,17 @@ def salted_join(
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
+    """Rows numbered from 1 in the total order of ``order``, without a window over all of them in one task.
+
+    The rows are sorted by range, each knows its place in its partition, and the partitions' sizes (one row each) are
+    added up.
+    """
+    placed = materialize(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_before") + F.col("_i") + 1).drop("_p", "_i", "_m", "_before")
