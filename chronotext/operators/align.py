@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronotext.functions.text import jaccard, number_key, shingles, words
 from chronotext.session import materialize
@@ -40,7 +41,7 @@ def change_status(old_text: Column, old_number: Column, new_text: Column, new_nu
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def word_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     """Words of two texts as one line, [-removed-] and {+added+}. Null if either is null."""
 

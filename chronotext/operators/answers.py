@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MIN_RUN = 10
 # What a citation, an abstention, a verdict and the prompt's delimiter look like.
@@ -143,7 +144,7 @@ def redacted(answer: str | None, passages: Sequence[tuple[str, str]], run: int =
     return "".join(out) + answer[done:], count
 
 
-@F.pandas_udf("answer string, quotes int")
+@F.pandas_udf(T.StructType([T.StructField("answer", T.StringType()), T.StructField("quotes", T.IntegerType())]))
 def redact(answer: pd.Series, refs: pd.Series, texts: pd.Series) -> pd.DataFrame:
     """``redacted`` for an answer and the arrays of its passages' references and texts."""
     rows = [redacted(a, list(zip(() if r is None else r, () if t is None else t))) for a, r, t in zip(answer, refs, texts)]
