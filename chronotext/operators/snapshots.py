@@ -13,8 +13,8 @@ from chronotext.skew import fits
 
 THRESHOLD = 0.5
 TOLERANCE = 0.001
-#: Up to so many hashes (16 bytes each) of unpaired texts are sent to every executor; beyond it their texts are joined by a shuffle.
-BROADCAST_HASHES = 500_000
+#: Up to so many keys of unpaired texts (some 60 bytes each) are sent to every executor; beyond it their texts are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: A round of ``greedy_pairs`` always settles the best pair, so this many rounds mean something is wrong.
 MAX_ROUNDS = 10_000
 
@@ -134,11 +134,15 @@ def snapshot_changes(
     kept, snaps = _current(slim)
     kept = materialize(kept)
 
-    new_side = kept.select("doc", "snap", "number", "hash", F.col("score").alias("new_score"), F.lit(True).alias("is_new"))
-    old_side = kept.where("next IS NOT NULL").select("doc", F.col("next").alias("snap"), "number", "hash", F.col("score").alias("old_score"), F.lit(True).alias("is_old"))
+    # ``own``: the snapshot that a row stands in; ``snap``: the later one of its comparison.
+    new_side = kept.select("doc", "snap", "number", "hash", F.col("score").alias("new_score"), F.col("snap").alias("own_new"), F.lit(True).alias("is_new"))
+    old_side = kept.where("next IS NOT NULL").select(
+        "doc", F.col("next").alias("snap"), "number", "hash", F.col("score").alias("old_score"), F.col("snap").alias("own_old"), F.lit(True).alias("is_old")
+    )
     joined = new_side.join(old_side, ["doc", "snap", "number", "hash"], "full_outer")
     differs = joined.where(f"is_old IS NULL OR is_new IS NULL OR abs(new_score - old_score) > {float(tolerance)!r}D")
-    differs = materialize(differs.select("doc", "snap", "number", "hash", F.col("is_old").isNotNull().alias("old"), F.col("is_new").isNotNull().alias("new")))
+    both = [F.coalesce("own_old", "own_new").alias("own"), F.col("is_old").isNotNull().alias("old"), F.col("is_new").isNotNull().alias("new")]
+    differs = materialize(differs.select("doc", "snap", "number", "hash", *both))
     rescored = differs.where("old AND new").select("doc", "snap", F.col("number").alias("old_number"), F.col("number").alias("new_number"), F.lit("rescored").alias("kind"))
 
     # A document's first snapshot has nothing before it.
@@ -146,20 +150,21 @@ def snapshot_changes(
     unpaired = differs.where("old <> new").drop("new").join(later, ["doc", "snap"], "left_semi")
     placed = _ordinals(unpaired)
     by_text = placed.groupBy("doc", "snap", "hash", "k").agg(
-        F.max(F.when(F.col("old"), F.col("number"))).alias("old_number"), F.max(F.when(~F.col("old"), F.col("number"))).alias("new_number")
+        F.max(F.when(F.col("old"), F.col("number"))).alias("old_number"), F.max(F.when(~F.col("old"), F.col("number"))).alias("new_number"), F.max("own").alias("own")
     )
     by_text = materialize(by_text)
     moved = by_text.where("old_number IS NOT NULL AND new_number IS NOT NULL").select("doc", "snap", "old_number", "new_number", F.lit("moved").alias("kind"))
 
     # What is left of a text is on one side only; its copies are numbered from 0 again.
     single = by_text.where("old_number IS NULL OR new_number IS NULL").select(
-        "doc", "snap", "hash", F.col("old_number").isNotNull().alias("old"), F.coalesce("old_number", "new_number").alias("number"), "k"
+        "doc", "snap", "hash", F.col("old_number").isNotNull().alias("old"), F.coalesce("old_number", "new_number").alias("number"), "k", "own"
     )
-    classes = materialize(single.groupBy("doc", "snap", "hash", "old").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first")))
-    hashes = classes.select("hash").distinct()
-    wanted = F.broadcast(hashes) if fits(hashes, BROADCAST_HASHES) else hashes
-    source = everything.where("text IS NOT NULL").withColumn("hash", row_hash(F.col("text"))).join(wanted, "hash", "left_semi")
-    source = source.groupBy("hash").agg(F.min(canonical(F.col("text"))).alias("text"))
+    classes = materialize(single.groupBy("doc", "snap", "hash", "old").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"), F.min(F.struct("own", "number")).alias("at")))
+    # The texts come from one row of each class; only the rows under its key are hashed again.
+    keys = classes.select("doc", F.col("at.own").alias("snap"), F.col("at.number").alias("number"), F.col("hash").alias("wanted"))
+    wanted = F.broadcast(keys) if fits(keys, BROADCAST_ROWS) else keys
+    source = everything.where("text IS NOT NULL").select("doc", "snap", "number", "text").join(wanted, ["doc", "snap", "number"])
+    source = source.where(row_hash(F.col("text")) == F.col("wanted")).groupBy(F.col("wanted").alias("hash")).agg(F.min(canonical(F.col("text"))).alias("text"))
     grams = materialize(source.select("hash", words(F.col("text")).alias("w"))).select("hash", shingles(F.col("w")).alias("grams"))
     texts = materialize(classes.select("doc", "snap", "old", "hash").join(grams, "hash"))
     edges = similar_texts(texts, threshold)
