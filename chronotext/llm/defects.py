@@ -57,6 +57,7 @@ FUNCTION_WORDS = {
 }
 SCRIPTS = {"ru": "\u0400-\u04ff", "ja": "\u3040-\u30ff", "zh": "\u4e00-\u9fff", "ko": "\uac00-\ud7af", "el": "\u0370-\u03ff", "ar": "\u0600-\u06ff", "he": "\u0590-\u05ff", "hi": "\u0900-\u097f", "th": "\u0e00-\u0e7f"}
 
+_BY_LANGUAGE = {language: frozenset(words.split()) for language, words in FUNCTION_WORDS.items()}
 _LANGUAGES: dict[str, list[str]] = {}
 for _language, _words in FUNCTION_WORDS.items():
     for _word in set(_words.split()):
@@ -74,14 +75,24 @@ def _plain(text: str) -> str:
     return _UNSEEN.sub("", html.unescape(_TAG.sub(" ", text))).replace("\u2019", "'")
 
 
+def _script(text: str) -> str | None:
+    """The language of a script of its own that makes up a good part of the letters."""
+    if text.isascii():
+        return None
+    letters = max(1, sum(map(str.isalpha, text)))
+    for language, script in _SCRIPT.items():
+        if len(script.findall(text)) > 0.3 * letters:
+            return "ja" if language == "zh" and _SCRIPT["ja"].search(text) else language
+    return None
+
+
 def _language(words: list[str], text: str) -> tuple[str | None, float]:
     """The most likely language and its evidence."""
-    for language, script in _SCRIPT.items():
-        if (n := len(script.findall(text))) > 0.3 * max(1, sum(c.isalpha() for c in text)):
-            return ("ja" if language == "zh" and _SCRIPT["ja"].search(text) else language), float(n)
+    if language := _script(text):
+        return language, float(len(text))
     score: Counter[str] = Counter()
     for word in words:
-        for part in word.split("'"):
+        for part in word.split("'") if "'" in word else (word,):
             known = _LANGUAGES.get(part, ())
             for language in known:
                 score[language] += 1 / len(known)
@@ -131,25 +142,25 @@ def votes(text: str | None, done_reason: str | None, question: str | None) -> di
                 at += 1
     cue = [UNABLE, UNINFORMED, UNWILLING, ELSEWHERE, FOREIGN_REFUSAL]
     sentences = [s for s in _SENTENCE.split(body) if s and _WORD.search(s)]
-    rest = 0
+    hits = [1 if c.search(body) else None for c in cue]
+    any_hit = any(hits)
+    asked_words, rest = set(asked), 0
     for s in sentences:
         own = [w.lower() for w in _WORD.findall(s)]
-        if any(c.search(s) for c in cue) or APOLOGY.search(s) and len(own) <= 6:
+        if any_hit and (any(c.search(s) for c in cue) or APOLOGY.search(s) and len(own) <= 6):
             continue
-        if known and len(set(own) - set(asked)) <= max(1, len(own) // 5):
+        if known and len(set(own) - asked_words) <= max(1, len(own) // 5):
             continue
         rest += len(own)
-    hits = [1 if c.search(body) else None for c in cue]
-    any_hit = any(hits)
     out["refusal"] = [*hits, (1 if any_hit and rest <= 3 else 0), (1 if APOLOGY.search(body) and any_hit else None), 0 if rest >= 6 or not words or brief else None, int(any_hit)]
 
-    extra = [w for w in words if w not in set(asked)]
-    same = set(words) & set(asked)
+    extra = [w for w in words if w not in asked_words]
+    same = set(words) & asked_words
     if not known or not words:
         out["copy"] = [None] * 5
     else:
-        cover = len(same) / len(set(asked))
-        share = len(same) / len(set(words) | set(asked))
+        cover = len(same) / len(asked_words)
+        share = len(same) / len(asked_words.union(words))
         wanted = " ".join(asked)
         near = _edit_share(bare, wanted) if share >= 0.4 and len(bare) <= 1.6 * len(wanted) else 1.0
         twice = len(left) <= 2 and len(words) > len(left)
@@ -167,8 +178,8 @@ def votes(text: str | None, done_reason: str | None, question: str | None) -> di
             by_sentence[_language(sw, s)[0]] += max(len(sw), len(s) // 6)
         by_sentence.pop(None, None)
         main = by_sentence.most_common(1)[0][0] if by_sentence else None
-        home = sum(theirs in _LANGUAGES.get(w, ()) for w in own_words) / len(own_words)
-        foreign = next((k for k, r in _SCRIPT.items() if len(r.findall(body)) > 0.3 * max(1, sum(c.isalpha() for c in body))), None)
+        home = sum(w in _BY_LANGUAGE.get(theirs, ()) for w in own_words) / len(own_words)
+        foreign = _script(body)
         out["language"] = [
             None if not theirs or not mine or evidence < 1 or sure < 1 else int(mine != theirs),
             None if not theirs or not main else int(main != theirs),
