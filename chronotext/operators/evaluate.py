@@ -82,12 +82,13 @@ def latency_summary(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame
 
     Null values don't count. Equal values are counted before they are put in order, so a window sees distinct values only.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    totals = counted.groupBy(*by).agg(F.sum("c").alias("n"), F.max(value).alias("max"))
-    placed = counted.withColumn("upto", F.sum("c").over(order)).join(totals, list(by))
+    keys = [*by, "_one"]
+    counted = rows.where(F.col(value).isNotNull()).withColumn("_one", F.lit(1)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    totals = counted.groupBy(*keys).agg(F.sum("c").alias("n"), F.max(value).alias("max"))
+    placed = counted.withColumn("upto", F.sum("c").over(order)).join(totals, keys)
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
-    rows = placed.groupBy(*by, "n", "max").agg(
+    rows = placed.groupBy(*keys, "n", "max").agg(
         ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"),
         at(F.floor((F.col("n") - 1) * F.lit(9) / 10)).alias("p90"),
     )
