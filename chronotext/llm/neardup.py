@@ -39,7 +39,9 @@ def text_classes(texts: DataFrame, *, row_id: Column, text: Column, min_words: i
     """
     tokens = texts.select(row_id.alias("id"), words(text).alias("w")).where(f"id IS NOT NULL AND size(w) >= {min_words}")
     sets = tokens.select("id", F.sort_array(shingles(F.col("w"))).alias("grams"))
-    sets = materialize(sets.withColumn("key", F.unhex(F.md5(F.array_join(F.transform("grams", lambda g: g.cast("string")), ",")))))
+    # 128 bits from two hashes of the whole set.
+    key = F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), "grams")), 16, "0") for seed in (1, 2)])
+    sets = materialize(sets.withColumn("key", F.unhex(key)))
     classes = sets.groupBy("key").agg(F.min("id").alias("class_id"), F.any_value("grams").alias("grams"))
     classes = materialize(classes.select("key", "class_id", F.size("grams").alias("n"), "grams"))
     members = salted_join(sets.select("id", "key").distinct(), classes.select("key", "class_id"), ["key"], F.col("id"))
@@ -53,35 +55,39 @@ def _signature() -> list[Column]:
 
 
 def _postings(classes: DataFrame, threshold: float) -> DataFrame:
-    """``g``, ``key``, ``n``, signature, ``band`` for the rarest sequences of each class that another class has too.
+    """``g``, ``key``, ``n``, signature, ``band``, ``indexed`` for the rarest sequences of each class that another class has too.
 
-    Two sets with similarity t share one of the first n - ceil(t n) + 1 sequences of either, in any order common to all;
-    rarest first keeps tiles small. Sequences of one class alone take up their place but need no posting.
+    Of two sets with similarity t the larger shares one of its first n - ceil(t n) + 1 sequences with the first
+    n - ceil(2 t / (1 + t) n) + 1 of the smaller (those are ``indexed``), in any order common to all; rarest first keeps
+    tiles small. Sequences of one class alone take up their place but need no posting.
     """
     grams = classes.select("key", "n", F.explode("grams").alias("g"))
     frequency = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     ranked = grams.join(frequency, "g").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("by_df"), *_signature())
-    keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).cast("int")
-    heads = ranked.withColumn("x", F.explode(F.filter(F.slice("by_df", 1, keep), lambda x: x.df > 1)))
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold)).cast("int")
-    return heads.select(F.col("x.g").alias("g"), "key", "n", *[f"s{i}" for i in range(SIGNATURE)], band.alias("band"))
+    first = lambda share: (F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1).cast("int")
+    heads = F.transform(F.slice("by_df", 1, first(threshold)), lambda x, i: F.struct(x["df"].alias("df"), x["g"].alias("g"), i.alias("i")))
+    posted = ranked.withColumn("x", F.explode(F.filter(heads, lambda x: x["df"] > 1)))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
+    indexed = F.col("x.i") < first(2 * threshold / (1 + threshold))
+    return posted.select(F.col("x.g").alias("g"), "key", "n", *[f"s{i}" for i in range(SIGNATURE)], band.alias("band"), indexed.alias("indexed"))
 
 
 def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``key_a`` < ``key_b``, ``sim`` of every two classes with similarity >= threshold."""
     postings = materialize(_postings(classes, threshold))
     signature = [f"s{i}" for i in range(SIGNATURE)]
-    # A class meets its own band at home and visits the next one: sizes that can be similar differ by one band at most.
+    # The larger class of a pair is at home in the tile of its band; the smaller stands there too or visits from the band below:
+    # sizes that can be similar differ by one band at most.
     home = postings.select("g", F.col("band").alias("tile"), F.col("key").alias("key_b"), F.col("n").alias("nb"), *[F.col(s).alias(f"b{s}") for s in signature])
-    roles = postings.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).select(
-        "g", (F.col("band") + F.col("up")).alias("tile"), "up", F.col("key").alias("key_a"), F.col("n").alias("na"), *[F.col(s).alias(f"a{s}") for s in signature]
+    roles = postings.where("indexed").withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "g", (F.col("band") + F.col("up")).alias("tile"), F.col("key").alias("key_a"), F.col("n").alias("na"), *[F.col(s).alias(f"a{s}") for s in signature]
     )
     met = salted_join(home, roles, ["g", "tile"], F.col("key_b"))
     only_a = reduce(Column.__add__, [F.bit_count(F.expr(f"a{s} & ~b{s}")) for s in signature])
     only_b = reduce(Column.__add__, [F.bit_count(F.expr(f"b{s} & ~a{s}")) for s in signature])
     bound = F.least(F.col("na") - only_a, F.col("nb") - only_b)
     enough = bound * (1 + threshold) >= (F.col("na") + F.col("nb")) * F.lit(threshold) - 1e-6
-    candidates = met.where(enough & ((F.col("up") == 1) | (F.col("key_a") < F.col("key_b"))))
+    candidates = met.where(enough & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("key_a") < F.col("key_b")))))
     candidates = candidates.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
     a = classes.select(F.col("key").alias("key_a"), F.col("grams").alias("ga"))
     b = classes.select(F.col("key").alias("key_b"), F.col("grams").alias("gb"))
