@@ -238,16 +238,15 @@ def posterior(prior: np.ndarray, rate: np.ndarray, keys: list[str]) -> np.ndarra
 
 
 def cutoff(posteriors: np.ndarray, counts: np.ndarray) -> float:
-    """The posterior from which labelling has the best expected F1; 0.5 where there is nothing to choose by."""
+    """The cutoff with the best expected F1, halfway between the last posterior it lets in and the next; 0.5 where there is nothing to choose by."""
+    real = (counts * posteriors).sum()
+    levels = np.unique(posteriors)[::-1]
     best, at = -1.0, 0.5
-    for c in sorted(set(np.round(posteriors, 6)) | {0.5}):
-        if c < 0.2:
-            continue
-        on = posteriors >= c
-        hit, total, real = (counts * posteriors)[on].sum(), counts[on].sum(), (counts * posteriors).sum()
-        if total + real > 0 and (f := 2 * hit / (total + real)) > best + 1e-9:
-            best, at = f, float(c)
-    return at
+    for i, level in enumerate(levels):
+        on = posteriors >= level
+        if (f := 2 * (counts * posteriors)[on].sum() / (counts[on].sum() + real)) > best + 1e-9:
+            best, at = f, float(level + (levels[i + 1] if i + 1 < len(levels) else 0.0)) / 2
+    return at if levels.size and levels[0] >= 0.5 else 0.5
 
 
 def ballots(generations: DataFrame, rulings: DataFrame) -> DataFrame:

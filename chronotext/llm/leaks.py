@@ -32,9 +32,11 @@ _UNSEEN = re.compile(
     r"\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e0fff\u0300-\u036f\x00-\x08\x0e-\x1f\x7f]"
 )
 _BREAK = r"[-\u2010\u2011\u00ac][ \t\u00a0]*(?:\r\n?|\n)[\s>|*]*"
+# A soft hyphen at a line end always splits a word.
+_SOFT_BREAK = re.compile(r"\u00ad[ \t\u00a0]*(?:\r\n?|\n)[\s>|*]*")
 _SPLIT_WORD = re.compile(rf"(?<=[^\W_]){_BREAK}(?=[^\W_])")
 _WORD = re.compile(rf"[^\W_]+(?:{_BREAK}[^\W_]+)*")
-_PIECE = re.compile(rf"{_TAG.pattern}|{_ENTITY.pattern}|.[\u0300-\u036f]*", re.S)
+_PIECE = re.compile(rf"{_TAG.pattern}|{_ENTITY.pattern}|{_SOFT_BREAK.pattern}|.[\u0300-\u036f]*", re.S)
 _PLAIN = re.compile(r"[^\W_]+")
 
 
@@ -48,6 +50,8 @@ def normalised(text: str) -> str:
         text = _TAG.sub("", _BLOCK_TAG.sub(" ", text))
     if "&" in text:
         text = _ENTITY.sub(lambda m: html.unescape(m.group()), text)
+    if "\u00ad" in text:
+        text = _SOFT_BREAK.sub("", text)
     return text.lower() if text.isascii() and text.isprintable() else _fold(text)
 
 
@@ -69,6 +73,8 @@ def words_at(text: str) -> list[tuple[str, int, int]]:
         piece = m.group()
         if _TAG.fullmatch(piece):
             piece = " " if _BLOCK_TAG.fullmatch(piece) else ""
+        elif _SOFT_BREAK.fullmatch(piece):
+            piece = ""
         elif _ENTITY.fullmatch(piece):
             piece = _fold(html.unescape(piece))
         else:

@@ -18,7 +18,7 @@ def run(spark, docs, items, what=leaks.leaks):
 def test_disguises(spark):
     part = " ".join(ITEM.split()[2:13])
     docs = [
-        part.upper(), part.replace(" ", "\n  "), part.replace("lancer", "<b>lan</b>cer"), part.replace(" ", "&nbsp;"), part.replace("sleeps", "slee-\n  ps"), part.replace("courier", "cou​rier"),
+        part.upper(), part.replace(" ", "\n  "), part.replace("lancer", "<b>lan</b>cer"), part.replace(" ", "&nbsp;"), part.replace("sleeps", "slee-\n  ps"), part.replace("sleeps", "slee\u00ad\r\nps"), part.replace("courier", "cou​rier"),
         part.replace("twelve", "twelve,—"), "".join(chr(ord(c) + 0xFEE0) if c.isalpha() else c for c in part), f"before <p>{part}</p> after", part.replace("seventh", "s&#101;venth"),
     ]
     assert run(spark, list(enumerate(docs)), [(7, ITEM)]) == [(i, 7) for i in range(len(docs))]
