@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder that holds this package.
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reach_workers(spark: SparkSession) -> SparkSession:
+    """Let Python workers that share this file system import the package, whatever their folder. Elsewhere ship it with ``--py-files``."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+    return spark
+
+
 def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session with the settings this library is tested under. ``conf`` keys use ``__`` for dots."""
     builder = (
@@ -20,7 +33,7 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: s
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return reach_workers(builder.getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:
