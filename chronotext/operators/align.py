@@ -131,3 +131,19 @@ def impact(references: DataFrame, changes: DataFrame, by: Sequence[str], key: st
     return references.join(status, [*by, "number"], "left").select(*by, key, "number", F.coalesce("status", F.lit("missing")).alias("status"))
 
 
+
+
+def rule_history(changes: DataFrame, by: str, edition: str) -> DataFrame:
+    """``by``, ``number``, ``status`` of each rule of the latest edition: new (nothing in the edition before matches), stable or changed.
+
+    ``changes`` matches the latest edition with each older one (``edition``, comparable); ``previous`` of them is the newest older one.
+    """
+    rows = changes.where("new_number IS NOT NULL")
+    newest = changes.groupBy(by).agg(F.max(edition).alias("_newest"))
+    same = normalised(F.col("old_text")) == normalised(F.col("new_text"))
+    judged = rows.join(newest, by).groupBy(by, F.col("new_number").alias("number")).agg(
+        F.max(F.when((F.col(edition) == F.col("_newest")) & F.col("old_number").isNotNull(), 1).otherwise(0)).alias("known"),
+        F.min(F.when(F.col("old_number").isNotNull(), same.cast("int"))).alias("same"),
+    )
+    status = F.when(F.col("known") == 0, "new").when(F.col("same") == 1, "stable").otherwise("changed")
+    return judged.select(by, "number", status.alias("status"))

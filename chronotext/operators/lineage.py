@@ -50,3 +50,18 @@ def reuse(target: DataFrame, earlier: DataFrame, by: Sequence[str], key: str) ->
     seen = earlier.select(F.col(key)).distinct().withColumn("_seen", F.lit(True))
     rows = target.select(*by, key).distinct().join(seen, key, "left")
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_seen").isNull(), 1)).alias("fresh"))
+
+
+def repeatable(runs: DataFrame, by: Sequence[str], output: str) -> DataFrame:
+    """``by``, ``runs``, ``outputs``, ``same``: whether all runs of one prompt gave the same output (by digest; a null is an output of its own)."""
+    digest = F.coalesce(F.sha2(F.col(output), 256), F.lit("None"))
+    rows = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.countDistinct(digest).alias("outputs"))
+    return rows.withColumn("same", F.col("outputs") == 1)
+
+
+def stratified_sample(rows: DataFrame, stratum: str, key: str, seed: int, n: int) -> DataFrame:
+    """``n`` rows a stratum (a null one included), the first by the digest of seed and key: the same rows on every run, however they are partitioned."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(stratum).orderBy(F.sha2(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string")), 256), key)
+    return rows.withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= n)

@@ -51,3 +51,8 @@ def pending(registered: DataFrame, ingested: DataFrame, by: Sequence[str], versi
     newest = ingested.groupBy(*by).agg(F.max(version_key(F.col(version))).alias("_newest"))
     joined = registered.join(newest, list(by), "left")
     return joined.where(F.col("_newest").isNull() | (version_key(F.col(version)) > F.col("_newest"))).select(*by, version).distinct()
+
+
+def midpoint(start: Column, stop: Column) -> Column:
+    """The day halfway through a window, the earlier of two; null for an open window."""
+    return F.date_add(start, F.floor(F.datediff(stop, start) / 2).cast("int"))

@@ -543,6 +543,54 @@ def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.fingerprint(_passages(spark, sf_dir), ["doc"], text)
 
 
+@query("WITH g AS (SELECT DISTINCT ON (gen_id) * FROM generations WHERE ruling_id IS NOT NULL) SELECT ruling_id, count(*) AS runs, count(DISTINCT coalesce(sha256(text), 'None')) AS outputs, count(DISTINCT coalesce(sha256(text), 'None')) = 1 AS same FROM g GROUP BY ruling_id")
+def repeatability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions asked several times: whether they always got the same answer."""
+    rows = table(spark, sf_dir, "generations").where("ruling_id IS NOT NULL").dropDuplicates(["gen_id"])
+    return lineage.repeatable(rows, ["ruling_id"], "text")
+
+
+@query("WITH r AS (SELECT DISTINCT ruling_id, category FROM rulings), o AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY sha256('20261002/' || ruling_id), ruling_id) AS draw FROM r) SELECT category, ruling_id, draw FROM o WHERE draw <= 20")
+def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty rulings of each category to be read by a person (a sampling operator)."""
+    rows = table(spark, sf_dir, "rulings").select("ruling_id", "category").distinct()
+    return lineage.stratified_sample(rows, "category", "ruling_id", 20261002, 20).select("category", "ruling_id", "draw")
+
+
+@query(f"WITH {P_SQL} SELECT passage_id, valid_from + ((valid_to - valid_from) // 2)::INT AS midpoint FROM p WHERE valid_to IS NOT NULL AND valid_from IS NOT NULL AND valid_to >= valid_from")
+def window_midpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day halfway through each closed window: when a question about the old text would be dated."""
+    rows = _passages(spark, sf_dir).where("valid_to IS NOT NULL AND valid_from IS NOT NULL AND valid_to >= valid_from")
+    return rows.select("passage_id", temporal.midpoint(c("valid_from"), c("valid_to")).alias("midpoint"))
+
+
+@query(f"WITH {P_SQL} SELECT doc, version, count(DISTINCT r) AS known FROM (SELECT doc, version, unnest(refs) AS r FROM p) GROUP BY ALL")
+def known_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rules the passages of each version carry."""
+    rows = _passages(spark, sf_dir).select("doc", "version", F.explode("refs").alias("r"))
+    return rows.groupBy("doc", "version").agg(F.countDistinct("r").alias("known"))
+
+
+@query("""
+WITH m AS (SELECT doc_id, rater, max(toxic) AS mark FROM doc_labels GROUP BY ALL) SELECT x.mark AS first, count(*) FILTER (WHERE y.mark = 0) AS "0", count(*) FILTER (WHERE y.mark = 1) AS "1", count(*) AS total
+FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.rater < y.rater GROUP BY x.mark""")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of the first rater of a document against those of the others."""
+    return evaluate.crosstab(_rater_pairs(spark, sf_dir).withColumn("y", c("y").cast("string")), "x", "y", ["0", "1"]).withColumnRenamed("x", "first")
+
+
+@query()
+def rule_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rule of a document's latest edition: new, stable or changed over all older editions."""
+    rules = table(spark, sf_dir, "rules").where("number IS NOT NULL AND text IS NOT NULL").dropDuplicates(["document_id", "number"])
+    rules = rules.select(F.substring_index("document_id", "@", 1).alias("doc"), temporal.version_key(F.substring_index("document_id", "@", -1)).alias("v"), "number", "text")
+    latest = rules.groupBy("doc").agg(F.max("v").alias("latest"))
+    marked = rules.join(latest, "doc")
+    old = marked.where("v < latest").select("doc", c("v").alias("edition"), "number", "text")
+    new = marked.where("v = latest").select("doc", "number", "text").join(old.select("doc", "edition").distinct(), "doc")
+    return align.rule_history(align.align(old, new, ["doc", "edition"]), "doc", "edition")
+
+
 # --- streams (extension) and plain relational work --------------------------------------------------------------------------------
 
 

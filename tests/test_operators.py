@@ -344,3 +344,19 @@ def test_streams(spark, tmp_path, rows):
     assert sorted(r.n for r in updates.run_once(updates.hourly(stream().withColumn("v", F.lit(1.0)), "at", ["doc"], "v"), "complete").collect()) == [1, 2]
     windows = updates.upsert_windows(stream(), str(tmp_path / "table"), ["doc", "version"], ["doc"], "at", "version").orderBy("version").collect()
     assert [(r.version, r.newer_exists) for r in windows] == [("1.0", True), ("1.1", False)] and windows[0].valid_until == windows[1]["at"]
+
+
+def test_history_sample_and_midpoint(spark, rows):
+    text = "every unit of the player who lost the last showdown is readied at once"
+    changes = [
+        ("d", 1, "1", text, "1", text), ("d", 2, "1", text, "1", text), ("d", 1, "2", text + " now", "2", text + " then"), ("d", 2, "2", text, "2", text + " then"),
+        ("d", 1, "3", text, "3", text), ("d", 2, None, None, "3", text), ("d", 2, "9", "gone", None, None),
+    ]
+    df = spark.createDataFrame(changes, "doc string, edition int, old_number string, old_text string, new_number string, new_text string")
+    assert rows(align.rule_history(df, "doc", "edition")) == [("d", "1", "stable"), ("d", "2", "changed"), ("d", "3", "new")]
+    pool = spark.range(50).select("id", F.when(F.col("id") < 48, (F.col("id") % 2).cast("string")).alias("s"))
+    drawn = rows(lineage.stratified_sample(pool, "s", "id", 7, 5).select("id", "s"))
+    assert drawn == rows(lineage.stratified_sample(pool.repartition(5), "s", "id", 7, 5).select("id", "s")) and len(drawn) == 12
+    assert one(spark, temporal.midpoint(F.lit("2026-01-01").cast("date"), F.lit("2026-01-04").cast("date")))[0] == day("2026-01-02")
+    runs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, None)], "p int, o string")
+    assert rows(lineage.repeatable(runs, ["p"], "o")) == [(1, 2, 1, True), (2, 2, 2, False)]
