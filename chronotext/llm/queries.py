@@ -81,7 +81,28 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rates(p8_scores(spark, sf_dir))
 
 
+_HEAD = r"^[\s\pZ]*[\[({]?[\s\pZ]*([A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*)\.?[\s\pZ]*[\])}]?[.:]?(?:[\s\pZ]|$)"
+
+P1_SQL = f"""
+WITH t AS (SELECT DISTINCT rule_id, number, text FROM rules WHERE text IS NOT NULL AND rule_id IS NOT NULL),
+s AS (SELECT rule_id, CASE WHEN lower(regexp_extract(text, '{_HEAD}', 1)) = lower(trim(number)) THEN regexp_replace(text, '{_HEAD}', '') ELSE text END AS x FROM t),
+w AS (SELECT rule_id, regexp_extract_all(lower(replace(replace(x, chr(8216), chr(39)), chr(8217), chr(39))), '[a-z0-9' || chr(39) || ']+') AS w FROM s),
+i AS (SELECT rule_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 12),
+g AS (SELECT DISTINCT rule_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM i), n AS (SELECT rule_id, count(*) AS n FROM g GROUP BY rule_id),
+p AS (SELECT a.rule_id AS a, b.rule_id AS b, count(*) AS c FROM g a JOIN g b USING (g) WHERE a.rule_id < b.rule_id GROUP BY ALL)
+SELECT a AS rule_a, b AS rule_b FROM p JOIN n x ON x.rule_id = a JOIN n y ON y.rule_id = b WHERE c / (x.n + y.n - c) >= 0.5
+"""
+
+P3_SQL = """
+WITH u AS (SELECT DISTINCT ON (content_hash, model_digest, prefix) content_hash AS h, model_digest AS m, prefix AS p, CAST(embedding AS DOUBLE[]) AS v FROM embedding_cache
+  WHERE content_hash IS NOT NULL AND model_digest IS NOT NULL AND prefix IS NOT NULL AND len(embedding) = 64
+    AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+s AS (SELECT a.m, a.p, a.h AS x, b.h AS y, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.m = b.m AND a.p = b.p AND a.h <> b.h),
+r AS (SELECT *, row_number() OVER (PARTITION BY m, p, x ORDER BY c DESC, y) AS rank FROM s WHERE c >= 0.9)
+SELECT DISTINCT m AS model_digest, p AS prefix, least(x, y) AS hash_a, greatest(x, y) AS hash_b FROM r WHERE rank <= 5
+"""
+
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_classes, p2_found, p2_labels, p3_found, p6_ids, p7_found, p7_spans, p8_found, p8_scores, p8_rates,
 )}
-SQL: dict[str, str] = {}
+SQL = {"p1_found": P1_SQL, "p3_found": P3_SQL}
