@@ -46,11 +46,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage ends there.
 
-    Unlike an eager ``checkpoint()`` the plan runs once, not twice, and the copy is columnar and compressed.
+    Unlike an eager ``checkpoint()`` the plan runs once, not twice, and the copy is columnar and compressed. The files stay
+    until ``release``, since lazy results read them.
     """
     path = f"{shared_dir(df.sparkSession)}/chronotext-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what ``materialize`` wrote in this process and return how many tables that was; for use once the results are stored."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    count = len(_made)
+    while _made:
+        path = hadoop(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return count

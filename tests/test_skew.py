@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from chronotext import skew
+from chronotext import session, skew
 
 
 def test_salted_join_is_a_join(spark, rows):
@@ -17,3 +17,11 @@ def test_row_numbers_follow_the_order(spark):
     got = skew.row_numbers(df, ["a", "b"]).orderBy("row_number").collect()
     assert [r.row_number for r in got] == list(range(1, 1001))
     assert [(r.a, r.b) for r in got] == sorted((r.a, r.b) for r in got)
+
+
+def test_materialized_tables_stay_until_released(spark):
+    session.release(spark)
+    kept = session.materialize(spark.range(5))
+    assert kept.count() == 5 and session.release(spark) == 1 and session.release(spark) == 0
+    again = session.materialize(spark.range(3).limit(0))
+    assert again.schema == spark.range(1).schema and again.count() == 0
