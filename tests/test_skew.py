@@ -24,4 +24,4 @@ def test_materialized_tables_stay_until_released(spark):
     kept = session.materialize(spark.range(5))
     assert kept.count() == 5 and session.release(spark) == 1 and session.release(spark) == 0
     again = session.materialize(spark.range(3).limit(0))
-    assert again.schema == spark.range(1).schema and again.count() == 0
+    assert again.schema.simpleString() == "struct<id:bigint>" and again.count() == 0
