@@ -67,8 +67,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its score for abusive content; from 0 on it is a case."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = toxicity.fit(documents, spark.read.parquet(f"{sf_dir}/doc_labels.parquet"))
-    return toxicity.score(documents, model)
+    return toxicity.scored(documents, spark.read.parquet(f"{sf_dir}/doc_labels.parquet"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

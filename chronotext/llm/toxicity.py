@@ -31,9 +31,12 @@ LANDMARKS = 320
 #: the others, and so many to choose landmarks from.
 MARKED_DOCUMENTS = 50_000
 BAD_PASSAGES, GOOD_PASSAGES, LANDMARK_POOL = 15_000, 20_000, 2_000
-#: So many documents of the corpus show how much rarer bad ones are there than among the marked, which were drawn to hold many.
-PRIOR_DOCUMENTS = 5_000
+#: The cutoffs tried. How much rarer bad documents are in the corpus than among the marked, which were drawn to hold many, is counted
+#: over all its documents at each of them.
+GRID = np.linspace(-0.6, 1.2, 73)
 ROUNDS, COST = 5, 5.0
+#: The score of a text without passages.
+NOTHING = -9.0
 #: Sentences of more words are read in windows of so many, half of one overlapping the next.
 LONG, WINDOW = 24, 16
 SEED = 20261127
@@ -209,7 +212,57 @@ def labelled(documents: DataFrame, marks: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "doc_id bigint, bad int, passage string")
 
 
+#: Without marks of both kinds.
+NEVER = Model(np.zeros(2**HASH_BITS, np.float32), -1.0)
+
+
+@dataclass
+class Held:
+    """Marked documents that the machine hasn't seen: the score of each one's worst passage, and whether it is marked bad."""
+
+    best: np.ndarray
+    bad: np.ndarray
+
+
+NONE_HELD = Held(np.empty(0), np.empty(0, bool))
+
+
+def cutoff(scores: DataFrame, held: Held) -> tuple[float, float]:
+    """The cutoff of best F1 on ``held``, good documents weighted by how much commoner they are in ``scores`` (all rows count) than there; and the F1.
+
+    One aggregation, a number for each cutoff tried. Cutoffs that are equally good give their median. With no document of one of
+    the kinds held out, nothing can be compared and the cutoff is the machine's own, 0, without an F1; any other number is enough.
+    """
+    bad, good = int(held.bad.sum()), int((~held.bad).sum())
+    if not bad or not good:
+        return 0.0, float("nan")
+    counts = scores.where("doc_id IS NOT NULL").agg(F.count(F.lit(1)), *[F.count(F.when(F.col("score") > float(c), 1)) for c in GRID]).first()
+    total = max(counts[0], 1)
+    f1 = np.zeros(len(GRID))
+    for i, c in enumerate(GRID):
+        share = max(counts[i + 1], 1) / total
+        rarer = max(1.0, (1 - share) / share / (good / bad))
+        hit, false = ((held.best > c) & held.bad).sum(), ((held.best > c) & ~held.bad).sum()
+        f1[i] = 2 * hit / max(1.0, hit + rarer * false + bad)
+    return float(np.median(GRID[f1 >= f1.max() - 1e-9])), float(f1.max())
+
+
 def fit(documents: DataFrame, marks: DataFrame) -> Model:
+    """``machine_of`` with its ``cutoff``, for scoring other documents; ``scored`` is cheaper for these."""
+    raw, held = machine_of(documents, marks)
+    limit, f1 = cutoff(score(documents, raw), held)
+    return Model(raw.weights, raw.bias - limit, f1)
+
+
+def scored(documents: DataFrame, marks: DataFrame) -> DataFrame:
+    """``score`` of ``documents`` by the machine fitted to them: they are scored once, for the cutoff and for the result."""
+    raw, held = machine_of(documents, marks)
+    scores = materialize(score(documents, raw))
+    limit, _ = cutoff(scores, held)
+    return scores.withColumn("score", F.when(F.col("score") > NOTHING, F.col("score") - limit).otherwise(NOTHING))
+
+
+def machine_of(documents: DataFrame, marks: DataFrame) -> tuple[Model, Held]:
     """Train on a bounded sample of the marked documents' passages (by hash order). Without marks of both kinds every score is below 0."""
     spark = documents.sparkSession
     rows = materialize(labelled(documents, marks)).withColumn("h", F.xxhash64("doc_id", "passage"))
@@ -221,7 +274,7 @@ def fit(documents: DataFrame, marks: DataFrame) -> Model:
     )
     texts = [r.passage for r in pool.select("passage").collect()]
     if not texts:
-        return Model(np.zeros(2**HASH_BITS, np.float32), -1.0)
+        return NEVER, NONE_HELD
     points = dense(texts)
     marked = points[spread_out(points, LANDMARKS)]
     del points
@@ -245,31 +298,18 @@ def fit(documents: DataFrame, marks: DataFrame) -> Model:
     ids, bad_of, x = ids[order], bad_of[order], x[order]
     docs, doc = np.unique(ids, return_inverse=True)
 
-    # The cutoff: the best F1 on a quarter of the documents that the first machine hasn't seen, good ones weighted as in the corpus.
+    # A quarter of the documents that the first machine hasn't seen, for the cutoff.
     held = np.random.default_rng(SEED).permutation(len(docs)) % 4 == 0
     truth = np.zeros(len(docs))
     truth[doc] = bad_of
     w = train(x, doc, bad_of, ~held[doc])
-    best = np.full(len(docs), -9.0)
+    best = np.full(len(docs), NOTHING)
     np.maximum.at(best, doc, x @ w[:-1] + w[-1])
     w = train(x, doc, bad_of, np.ones(len(doc), bool))
     if not w.any():
-        return Model(np.zeros(2**HASH_BITS, np.float32), -1.0)
+        return NEVER, NONE_HELD
     raw = Model((marked.T @ (whiten @ w[:-1])).astype(np.float32), float(w[-1]))
-    if (held & (truth > 0)).sum() < 10:
-        return raw
-    corpus = documents.where("doc_id IS NOT NULL").select("doc_id", "source", "text")
-    corpus = corpus.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(PRIOR_DOCUMENTS).repartition(12, "doc_id")
-    sample_scores = score(corpus, raw).select("score").toPandas()["score"].to_numpy()
-    grid = np.linspace(-0.6, 1.2, 73)
-    f1 = np.zeros(len(grid))
-    for i, c in enumerate(grid):
-        share = np.clip((sample_scores > c).mean(), 1e-4, 0.5)
-        rarer = max(1.0, (1 - share) / share / ((held & (truth < 0)).sum() / (held & (truth > 0)).sum()))
-        hit, false = ((best > c) & held & (truth > 0)).sum(), ((best > c) & held & (truth < 0)).sum()
-        f1[i] = 2 * hit / max(1.0, hit + rarer * false + (held & (truth > 0)).sum())
-    limit = float(np.median(grid[f1 >= f1.max() - 1e-9]))
-    return Model(raw.weights, raw.bias - limit, float(f1.max()))
+    return raw, Held(best[held], truth[held] > 0)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -283,7 +323,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         weights, bias = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            worst = np.full(len(texts), -9.0)
+            worst = np.full(len(texts), NOTHING)
             held: list[str] = []
             owner: list[int] = []
             size = 0

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from chronotext.llm import toxicity
 
@@ -60,3 +61,24 @@ def test_disguised_words_look_alike():
     a, b, c = toxicity.dense([" you complete scumbag ", " you complete sc_umbaag ", " the herald draws cards "])
     assert a @ b > 0.7 > 0.3 > a @ c
     assert toxicity.tidy("$CUMB​AG d.i.m ѕсum") == " scumbag dim scum " and toxicity.tidy("What a moron!  a$$") == " what a moron ass "
+
+
+def test_cutoff_counts_the_whole_corpus(spark):
+    held = toxicity.Held(np.array([0.3] * 6 + [0.9] * 4 + [0.3] + [-0.9] * 9), np.array([True] * 10 + [False] * 10))
+    # 40 of 40,000 score above all cutoffs: a good document of the ten stands for many, so the one at 0.3 must stay out.
+    rare = spark.range(40_000).selectExpr("id AS doc_id", "IF(id % 1000 = 999, 2.0D, -1.0D) AS score")
+    limit, f1 = toxicity.cutoff(rare, held)
+    assert 0.3 <= limit < 0.9 and abs(f1 - 8 / 14) < 1e-9
+    limit, f1 = toxicity.cutoff(rare.withColumn("score", F.lit(2.0)), held)
+    assert limit < 0.3 and abs(f1 - 20 / 21) < 1e-9
+    assert toxicity.cutoff(rare, toxicity.Held(held.best[:10], held.bad[:10]))[0] == 0.0
+
+
+def test_few_marks_set_a_cutoff_too(spark):
+    docs, marks = corpus(60)
+    d = spark.createDataFrame(docs, DOCS).select("doc_id", "text", "source", "score")
+    m = spark.createDataFrame(marks, "doc_id bigint, rater string, toxic int")
+    model = toxicity.fit(d, m)
+    assert model.held_out_f1 > 0.5
+    one = {r.doc_id: r.score for r in toxicity.scored(d, m).collect()}
+    assert all(abs(one[r.doc_id] - r.score) < 1e-5 for r in toxicity.score(d, model).collect())
