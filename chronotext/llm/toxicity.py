@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext.session import materialize
@@ -27,10 +27,14 @@ HASH_BITS = 14
 #: A subsequence spans at most so many characters, each character of it beyond the first two counting DECAY.
 SPAN, DECAY = 5, 0.7
 LANDMARKS = 320
-#: The fit uses a bounded sample, always the first by hash: so many marked documents, so many passages of those marked bad and of
-#: the others, and so many to choose landmarks from.
+#: The fit uses a bounded sample, always the first by hash: so many marked documents; of these whole documents until the bad ones and
+#: the others have so many passages; and so many passages to choose landmarks from.
 MARKED_DOCUMENTS = 50_000
-BAD_PASSAGES, GOOD_PASSAGES, LANDMARK_POOL = 15_000, 20_000, 2_000
+BAD_PASSAGES, GOOD_PASSAGES, LANDMARK_POOL = 25_000, 45_000, 2_000
+#: Documents of more passages are drawn last, so that none takes the place of all others.
+VERY_LONG = 500
+#: One in so many marked documents of a kind is held out.
+FOLDS = 4
 #: The cutoffs tried. How much rarer bad documents are in the corpus than among the marked, which were drawn to hold many, is counted
 #: over all its documents at each of them.
 GRID = np.linspace(-0.6, 1.2, 73)
@@ -263,12 +267,14 @@ def scored(documents: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def machine_of(documents: DataFrame, marks: DataFrame) -> tuple[Model, Held]:
-    """Train on a bounded sample of the marked documents' passages (by hash order). Without marks of both kinds every score is below 0."""
+    """Train on the passages of ``drawn`` documents. Without marks of both kinds every score is below 0.
+
+    A first machine sees three quarters of them; the marked documents that it hasn't seen, drawn or not, are judged by all their passages.
+    """
     spark = documents.sparkSession
     rows = materialize(labelled(documents, marks)).withColumn("h", F.xxhash64("doc_id", "passage"))
-    bad = rows.where("bad > 0").orderBy("h", "passage").limit(BAD_PASSAGES)
-    good = rows.where("bad < 0").orderBy("h", "passage").limit(GOOD_PASSAGES)
-    sample = materialize(bad.unionByName(good).repartition(12, "h"))
+    chosen = materialize(drawn(rows))
+    sample = materialize(rows.join(F.broadcast(chosen.where("used").select("doc_id", "held")), "doc_id").repartition(12, "h"))
     pool = sample.where("bad > 0").orderBy("h", "passage").limit(LANDMARK_POOL - LANDMARK_POOL // 3).unionByName(
         sample.where("bad < 0").orderBy("h", "passage").limit(LANDMARK_POOL // 3)
     )
@@ -287,29 +293,55 @@ def machine_of(documents: DataFrame, marks: DataFrame) -> tuple[Model, Held]:
         for batch in batches:
             k = kernel_rows(batch.column("passage").to_pylist(), shared.value)
             offsets = pa.array(np.arange(len(k) + 1, dtype=np.int32) * k.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("bad"), pa.ListArray.from_arrays(offsets, pa.array(k.ravel()))], ["doc_id", "bad", "k"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(offsets, pa.array(k.ravel()))], ["doc_id", "bad", "held", "k"])
 
-    table = sample.select("doc_id", "bad", "passage").mapInArrow(run, "doc_id bigint, bad int, k array<float>").toArrow()
-    ids, bad_of = table["doc_id"].to_numpy(), table["bad"].to_numpy()
+    table = sample.select("doc_id", "bad", "held", "passage").mapInArrow(run, "doc_id bigint, bad int, held boolean, k array<float>").toArrow()
+    ids, bad_of, held = table["doc_id"].to_numpy(), table["bad"].to_numpy(), table["held"].to_numpy()
     x = np.concatenate([c.flatten().to_numpy().reshape(len(c), -1) @ whiten for c in table["k"].chunks if len(c)])
     del table
     # In an order that doesn't depend on the tasks'.
     order = np.lexsort((x[:, 0], ids))
-    ids, bad_of, x = ids[order], bad_of[order], x[order]
-    docs, doc = np.unique(ids, return_inverse=True)
-
-    # A quarter of the documents that the first machine hasn't seen, for the cutoff.
-    held = np.random.default_rng(SEED).permutation(len(docs)) % 4 == 0
-    truth = np.zeros(len(docs))
-    truth[doc] = bad_of
-    w = train(x, doc, bad_of, ~held[doc])
-    best = np.full(len(docs), NOTHING)
-    np.maximum.at(best, doc, x @ w[:-1] + w[-1])
-    w = train(x, doc, bad_of, np.ones(len(doc), bool))
-    if not w.any():
+    ids, bad_of, held, x = ids[order], bad_of[order], held[order], x[order]
+    doc = np.unique(ids, return_inverse=True)[1]
+
+    def folded(w: np.ndarray) -> Model:
+        return Model((marked.T @ (whiten @ w[:-1])).astype(np.float32), float(w[-1]))
+
+    first = train(x, doc, bad_of, ~held)
+    last = train(x, doc, bad_of, np.ones(len(doc), bool))
+    if not last.any():
         return NEVER, NONE_HELD
-    raw = Model((marked.T @ (whiten @ w[:-1])).astype(np.float32), float(w[-1]))
-    return raw, Held(best[held], truth[held] > 0)
+    unseen = rows.join(F.broadcast(chosen.where("held OR NOT used").select("doc_id")), "doc_id")
+    judged = worst(unseen, folded(first)).toPandas()
+    return folded(last), Held(judged["best"].to_numpy(), judged["bad"].to_numpy() > 0)
+
+
+def drawn(rows: DataFrame) -> DataFrame:
+    """``doc_id``, ``used``, ``held`` of the marked documents in ``rows`` (a passage each): drawn for the fit with all passages or not, held out or not.
+
+    A document is drawn while those before it have fewer passages than the bound. A table of MARKED_DOCUMENTS rows at most.
+    """
+    order = Window.partitionBy("bad").orderBy(F.col("n") > VERY_LONG, F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.groupBy("doc_id", "bad").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(order) - F.col("n"))
+    bound = F.when(F.col("bad") > 0, BAD_PASSAGES).otherwise(GOOD_PASSAGES)
+    return placed.select("doc_id", (F.col("before") < bound).alias("used"), (F.count(F.lit(1)).over(order) % FOLDS == 0).alias("held"))
+
+
+def worst(rows: DataFrame, model: Model) -> DataFrame:
+    """``doc_id``, ``bad``, ``best``: the highest score among all of a document's passages in ``rows``."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = shared.value
+        for batch in batches:
+            texts, sums = batch.column("passage").to_pylist(), []
+            for at in range(0, len(texts), 500):
+                of, bucket, weight = features(texts[at : at + 500])
+                sums.append(np.bincount(of, weights[bucket] * weight, len(texts[at : at + 500])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.concatenate([*sums, np.empty(0)]) + bias)], ["doc_id", "bad", "s"])
+
+    scores = rows.select("doc_id", "bad", "passage").mapInArrow(run, "doc_id bigint, bad int, s double")
+    return scores.groupBy("doc_id", "bad").agg(F.max("s").alias("best"))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:

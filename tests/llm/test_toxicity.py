@@ -82,3 +82,17 @@ def test_few_marks_set_a_cutoff_too(spark):
     assert model.held_out_f1 > 0.5
     one = {r.doc_id: r.score for r in toxicity.scored(d, m).collect()}
     assert all(abs(one[r.doc_id] - r.score) < 1e-5 for r in toxicity.score(d, model).collect())
+
+
+def test_marked_documents_keep_all_their_passages(spark, monkeypatch):
+    docs, marks = corpus(120)
+    d = spark.createDataFrame(docs, DOCS).select("doc_id", "text", "source", "score")
+    m = spark.createDataFrame([x for x in marks if x[1] == "b"], "doc_id bigint, rater string, toxic int")
+    monkeypatch.setattr(toxicity, "BAD_PASSAGES", 60)
+    monkeypatch.setattr(toxicity, "GOOD_PASSAGES", 60)
+    seen, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda x, doc, *rest: seen.append(np.bincount(doc)) or train(x, doc, *rest))
+    toxicity.fit(d, m)
+    assert min(c.min() for c in seen) >= min(len(toxicity.passages(x[1])) for x in docs) > 1 and seen[0].sum() < 150
+    raw, held = toxicity.machine_of(d, m)
+    assert len(held.best) > 120 - 2 * 60 // 3 and 0 < held.bad.sum() < len(held.best)
