@@ -11,7 +11,9 @@ import math
 import re
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,8 +37,7 @@ _BREAK = r"[-\u2010\u2011\u00ac][ \t\u00a0]*(?:\r\n?|\n)[\s>|*]*"
 # A soft hyphen at a line end always splits a word.
 _SOFT_BREAK = re.compile(r"\u00ad[ \t\u00a0]*(?:\r\n?|\n)[\s>|*]*")
 _SPLIT_WORD = re.compile(rf"(?<=[^\W_]){_BREAK}(?=[^\W_])")
-_WORD = re.compile(rf"[^\W_]+(?:{_BREAK}[^\W_]+)*")
-_PIECE = re.compile(rf"{_TAG.pattern}|{_ENTITY.pattern}|{_SOFT_BREAK.pattern}|.[\u0300-\u036f]*", re.S)
+_RUN, _PIECE = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+|[\x00-\x7f]"), re.compile(r".[\u0300-\u036f]*", re.S)
 _PLAIN = re.compile(r"[^\W_]+")
 
 
@@ -64,26 +65,65 @@ def word_lists(text: str | None) -> list[list[str]]:
     return [_PLAIN.findall(joined)] + ([_PLAIN.findall(plain)] if joined != plain else [])
 
 
-def words_at(text: str) -> list[tuple[str, int, int]]:
-    """The words of the first reading with their start and end in the original text."""
+def _replaced(pattern: re.Pattern, new: Callable[[str], str], text: str, at: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """``pattern.sub`` that carries ``at``, where each character stands in the original."""
     parts: list[str] = []
-    origin: list[int] = []
-    ends: list[int] = []
-    for m in _PIECE.finditer(text):
-        piece = m.group()
-        if _TAG.fullmatch(piece):
-            piece = " " if _BLOCK_TAG.fullmatch(piece) else ""
-        elif _SOFT_BREAK.fullmatch(piece):
-            piece = ""
-        elif _ENTITY.fullmatch(piece):
-            piece = _fold(html.unescape(piece))
+    places: list[tuple[int, int]] = []
+    last = 0
+    for m in pattern.finditer(text):
+        parts += [text[last : m.start()], piece := new(m.group())]
+        places += at[last : m.start()]
+        places += [(at[m.start()][0], at[m.end() - 1][1])] * len(piece)
+        last = m.end()
+    return "".join([*parts, text[last:]]), places + at[last:]
+
+
+def _folded_at(text: str, at: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """``_fold`` that carries ``at``; characters that fold otherwise together than alone share their place."""
+    parts: list[str] = []
+    places: list[tuple[int, int]] = []
+    # Nothing combines with an ASCII character that follows it.
+    for m in _RUN.finditer(text):
+        pieces = [(_fold(p.group()), m.start() + p.start(), m.start() + p.end()) for p in _PIECE.finditer(m.group())]
+        if "".join(p for p, _, _ in pieces) != (whole := _fold(m.group())):
+            pieces = [(whole, m.start(), m.end())]
+        for piece, start, stop in pieces:
+            parts.append(piece)
+            places += [(at[start][0], at[stop - 1][1])] * len(piece)
+    return "".join(parts), places
+
+
+def word_lists_at(text: str) -> list[list[tuple[str, int, int]]]:
+    """``word_lists`` with the words' start and end in the original text."""
+    plain, at = text, [(i, i + 1) for i in range(len(text))]
+    plain, at = _replaced(_BLOCK_TAG, lambda _: " ", plain, at)
+    plain, at = _replaced(_TAG, lambda _: "", plain, at)
+    plain, at = _replaced(_ENTITY, html.unescape, plain, at)
+    plain, at = _replaced(_SOFT_BREAK, lambda _: "", plain, at)
+    plain, at = _folded_at(plain, at)
+    joined, joined_at = _replaced(_SPLIT_WORD, lambda _: "", plain, at)
+    readings = [(joined, joined_at)] + ([(plain, at)] if joined != plain else [])
+    return [[(m.group(), places[m.start()][0], places[m.end() - 1][1]) for m in _PLAIN.finditer(words)] for words, places in readings]
+
+
+def _uncovered(spans: set[tuple[int, int]], others: set[tuple[int, int]]) -> set[tuple[int, int]]:
+    """The spans that lie in none of the others."""
+    ordered = sorted(others)
+    starts, reach = [s for s, _ in ordered], list(accumulate((e for _, e in ordered), max))
+    return {(s, e) for s, e in spans if not (i := bisect_right(starts, s)) or reach[i - 1] < e}
+
+
+def merged(first: set[tuple[int, int]], second: set[tuple[int, int]]) -> set[tuple[int, int]]:
+    """The spans of two readings: each once, what lies in a span of the other left out, what overlaps one of the other joined with it."""
+    second = _uncovered(second, first)
+    first = _uncovered(first, second)
+    out: list[tuple[int, int, int]] = []
+    for start, stop, reading in sorted([(*x, 0) for x in first] + [(*x, 1) for x in second]):
+        if out and start < out[-1][1] and reading != out[-1][2]:
+            out[-1] = (out[-1][0], stop, reading) if stop > out[-1][1] else out[-1]
         else:
-            piece = _fold(piece)
-        parts.append(piece)
-        origin.extend([m.start()] * len(piece))
-        ends.extend([m.end()] * len(piece))
-    plain = "".join(parts)
-    return [(re.sub(_BREAK, "", m.group()), origin[m.start()], ends[m.end() - 1]) for m in _WORD.finditer(plain)]
+            out.append((start, stop, reading))
+    return {(start, stop) for start, stop, _ in out}
 
 
 class Windows:
@@ -116,9 +156,15 @@ class Windows:
         return {item for words in word_lists(text) for item, _ in self.hits(words)}
 
     def spans(self, text: str | None) -> set[tuple[int, int, int]]:
-        """(item, start, end) of the longest stretches of overlapping windows, as places in the original text."""
-        words = words_at(text) if text else []
-        out: set[tuple[int, int, int]] = set()
+        """(item, start, end) of the longest stretches of overlapping windows, as places in the original text; both readings count."""
+        readings = [self._stretches(words) for words in word_lists_at(text)] if text else []
+        if len(readings) < 2:
+            return {(item, *span) for held in readings for item, spans in held.items() for span in spans}
+        first, second = readings
+        return {(item, *span) for item in first.keys() | second.keys() for span in merged(first.get(item, set()), second.get(item, set()))}
+
+    def _stretches(self, words: list[tuple[str, int, int]]) -> dict[int, set[tuple[int, int]]]:
+        out: dict[int, set[tuple[int, int]]] = {}
         last: dict[int, list[int]] = {}
         for item, end in self.hits([w for w, _, _ in words]):
             span = last.get(item)
@@ -126,9 +172,11 @@ class Windows:
                 span[1] = end
             else:
                 if span:
-                    out.add((item, words[span[0]][1], words[span[1]][2]))
+                    out.setdefault(item, set()).add((words[span[0]][1], words[span[1]][2]))
                 last[item] = [end - self.run + 1, end]
-        return out | {(item, words[a][1], words[b][2]) for item, (a, b) in last.items()}
+        for item, (a, b) in last.items():
+            out.setdefault(item, set()).add((words[a][1], words[b][2]))
+        return out
 
 
 _windows: dict[str, Windows] = {}

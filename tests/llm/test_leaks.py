@@ -41,3 +41,25 @@ def test_several_passes_and_very_long_texts(spark, monkeypatch):
     monkeypatch.setattr(leaks, "AUTOMATON_WORDS", 20)
     other = re.sub("e", "u", ITEM)
     assert run(spark, [(1, "word " * 200_000 + ITEM), (2, other)], [(1, ITEM), (2, other), (3, ITEM)]) == [(1, 1), (1, 3), (2, 2)]
+
+
+COMPOUND = "the herald of a well-known northern house pays no toll while the twin moons are up"
+
+
+def test_places_of_a_compound_wrapped_at_its_hyphen(spark):
+    wrapped = COMPOUND.replace("well-", "well-\n")
+    short = " ".join(wrapped.split(" ")[:9])
+    both = wrapped.replace("twin", "tw-\nin")
+    shy = ITEM.replace("courier", "cou&shy;\nrier")
+    kana = COMPOUND.replace("pays", "\u304b\u3099\u304b")
+    items = [(1, COMPOUND), (2, ITEM), (3, kana.replace("\u304b\u3099", "\u304c"))]
+    docs = list(enumerate(["a. " + wrapped + " z", short, both, shy, kana, "<p>" + wrapped + "</p> " + ITEM, COMPOUND]))
+    spans = run(spark, docs, items, leaks.leak_spans)
+    assert sorted({(d, i) for d, i, _, _ in spans}) == run(spark, docs, items) == [(0, 1), (1, 1), (2, 1), (3, 2), (4, 3), (5, 1), (5, 2), (6, 1)]
+    assert [docs[d][1][a:b] for d, _, a, b in spans] == [wrapped, short, both, shy, kana, wrapped, ITEM, COMPOUND]
+
+
+def test_spans_of_two_readings():
+    assert leaks.merged({(0, 9), (12, 30)}, {(0, 30)}) == {(0, 30)}
+    assert leaks.merged({(0, 10), (6, 15)}, {(0, 10), (6, 15)}) == {(0, 10), (6, 15)}
+    assert leaks.merged({(0, 10), (20, 30)}, {(8, 22), (40, 50)}) == {(0, 30), (40, 50)}
