@@ -360,3 +360,8 @@ def test_history_sample_and_midpoint(spark, rows):
     assert one(spark, temporal.midpoint(F.lit("2026-01-01").cast("date"), F.lit("2026-01-04").cast("date")))[0] == day("2026-01-02")
     runs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, None)], "p int, o string")
     assert rows(lineage.repeatable(runs, ["p"], "o")) == [(1, 2, 1, True), (2, 2, 2, False)]
+
+
+def test_bootstrap_kappa_draws_as_often_as_the_reference(spark):
+    pairs = spark.createDataFrame([(i, i % 2, (i % 5 > 0) * (i % 2)) for i in range(60)], "i int, a int, b int")
+    assert stats.bootstrap_kappa(pairs, "i", "a", "b").first().defined == 2000
