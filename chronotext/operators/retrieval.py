@@ -113,18 +113,29 @@ def rerank(pooled: DataFrame, score: Column, by: str, key: str, k: int) -> DataF
     return best.select(by, key, "score", "rank")
 
 
-METHODS = ("naive", "as-of", "hybrid", "rerank")
+METHODS = ("naive", "as-of", "lexical", "hybrid", "rerank-vector", "rerank")
+#: Candidates of each of two lists; of one list twice as many.
+RERANK_DEPTH = 20
 
 
-def retrieve(method: str, vector: Callable[[bool, int], DataFrame], lexical: Callable[[int], DataFrame], score: Column | None, by: str, key: str, k: int) -> DataFrame:
-    """One of METHODS over two searches: ``vector(as_of, k)`` and ``lexical(k)``. Unknown methods are refused."""
+def retrieve(
+    method: str, vector: Callable[[bool, int], DataFrame], lexical: Callable[[int], DataFrame], score: Column | None, by: str, key: str, k: int,
+    add: Callable[[DataFrame], DataFrame] = lambda pooled: pooled,
+) -> DataFrame:
+    """One of METHODS over two searches: ``vector(as_of, k)`` and ``lexical(k)``. Unknown methods are refused.
+
+    ``add`` joins to the pool (``by``, ``key``, ``place``) what ``score`` needs.
+    """
     if method == "naive":
         return vector(False, k)
     if method == "as-of":
         return vector(True, k)
+    if method == "lexical":
+        return lexical(k)
     depth = max(k, RRF_DEPTH)
     if method == "hybrid":
         return fuse([vector(True, depth), lexical(depth)], by, key, k)
-    if method == "rerank" and score is not None:
-        return rerank(pool([vector(True, 20), lexical(20)], by, key), score, by, key, k)
-    raise ValueError(f"method: one of {', '.join(METHODS)} (rerank needs a score)")
+    if method in ("rerank-vector", "rerank") and score is not None:
+        lists = [vector(True, RERANK_DEPTH), lexical(RERANK_DEPTH)] if method == "rerank" else [vector(True, 2 * RERANK_DEPTH)]
+        return rerank(add(pool(lists, by, key)), score, by, key, k)
+    raise ValueError(f"method: one of {', '.join(METHODS)} (rerank and rerank-vector need a score)")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronotext.functions.text import reference
+from chronotext.functions.text import reference, words
 from chronotext.operators import align, answers, evaluate, lineage, retrieval, stats, temporal
 from chronotext.plans.core import P4_SQL, p4_found
 from chronotext.sources import parse
@@ -154,6 +154,63 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+_IN_FORCE = f"valid_from <= DATE '{AS_OF}' AND (valid_to IS NULL OR DATE '{AS_OF}' < valid_to)"
+_ASOF_LISTS = f"""{P_SQL}, e AS (SELECT DISTINCT ON (content_hash) content_hash, embedding FROM embedding_cache WHERE model_digest = '{MODEL}' AND prefix = '{PREFIX}' AND len(embedding) = 64
+  AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+x AS (SELECT passage_id, valid_from, valid_to, CAST(embedding AS DOUBLE[]) AS x FROM p JOIN e USING (content_hash)),
+y AS (SELECT a.passage_id AS q, b.passage_id, 1 - list_cosine_similarity(a.x, b.x) AS d FROM x a, x b WHERE a.passage_id % 20 = 0 AND {_IN_FORCE.replace("valid_", "b.valid_")}),
+a AS (SELECT q, passage_id, row_number() OVER (PARTITION BY q ORDER BY round(d, 9), passage_id) AS rank FROM y),
+w AS (SELECT passage_id, valid_from, valid_to, {_WORDS_SQL} AS w FROM p), q AS (SELECT DISTINCT passage_id AS q, unnest(w) AS term FROM w WHERE passage_id % 20 = 0),
+t AS (SELECT passage_id, len(w) AS n, unnest(w) AS term FROM w WHERE {_IN_FORCE}), m AS (SELECT q, passage_id, n, count(*) AS hits FROM t JOIN q USING (term) WHERE term NOT IN ({_STOP}) GROUP BY ALL),
+b AS (SELECT q, passage_id, row_number() OVER (PARTITION BY q ORDER BY round(hits / (1 + ln(n)), 9) DESC, passage_id) AS rank FROM m)"""
+
+
+def _retrieved(spark: SparkSession, sf_dir: str, method: str, k: int) -> DataFrame:
+    """A method over the passages in force on a day; every passage whose id is divisible by 20 is asked."""
+    keep = (c("model_digest") == MODEL) & (c("prefix") == PREFIX)
+    cache = table(spark, sf_dir, "embedding_cache").where(keep).where(
+        "size(embedding) = 64 AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = float('inf')) AND exists(embedding, x -> x <> 0)"
+    ).dropDuplicates(["content_hash"]).select("content_hash", "embedding")
+    rows = _passages(spark, sf_dir)
+    in_force = temporal.in_force(F.lit(AS_OF).cast("date"), c("valid_from"), c("valid_to"))
+    held = rows.join(cache, "content_hash").select("passage_id", "valid_from", "valid_to", "embedding")
+
+    def vector(as_of: bool, depth: int) -> DataFrame:
+        asked = held.where("passage_id % 20 = 0").select(c("passage_id").alias("q"), "embedding")
+        found = retrieval.cosine_top(held.where(in_force) if as_of else held, asked, chunk_id="passage_id", query_id="q", vector="embedding", k=depth + 10)
+        return retrieval.top(found.drop("rank"), ["q"], [F.round("distance", 9), c("passage_id")], depth)
+
+    def lexical(depth: int) -> DataFrame:
+        asked = rows.where("passage_id % 20 = 0").select(c("passage_id").alias("q"), "text")
+        return retrieval.word_top(rows.where(in_force).select("passage_id", "text"), asked, doc_id="passage_id", query_id="q", text="text", k=depth)
+
+    def add(pooled: DataFrame) -> DataFrame:
+        told = rows.select("passage_id", F.array_distinct(words(c("text"))).alias("w"))
+        return pooled.join(told, "passage_id").join(told.select(c("passage_id").alias("q"), c("w").alias("v")), "q")
+
+    shared = F.coalesce(F.size(F.array_intersect("w", "v")) / F.nullif(F.size(F.array_union("w", "v")), F.lit(0)), F.lit(0.0))
+    return retrieval.retrieve(method, vector, lexical, F.round(shared, 9), "q", "passage_id", k, add)
+
+
+@query(f"""
+WITH {_ASOF_LISTS}, u AS (SELECT *, 0 AS l FROM a WHERE rank <= 50 UNION ALL SELECT *, 1 FROM b WHERE rank <= 50),
+s AS (SELECT q, passage_id, sum(1 / (60 + rank)) AS score, min((l, rank)) AS f FROM u GROUP BY ALL)
+SELECT q, passage_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, f, passage_id) AS rank FROM s) WHERE rank <= 10""")
+def asof_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector and word search of the passages in force, fused."""
+    return _retrieved(spark, sf_dir, "hybrid", 10).select("q", "passage_id", F.round("score", 9).alias("score"), "rank")
+
+
+@query(f"""
+WITH {_ASOF_LISTS}, u AS (SELECT *, 0 AS l FROM a WHERE rank <= 20 UNION ALL SELECT *, 1 FROM b WHERE rank <= 20),
+s AS (SELECT q, passage_id, min((l, rank)) AS f FROM u GROUP BY ALL), d AS (SELECT passage_id, list_distinct(w) AS w FROM w),
+j AS (SELECT s.*, round(coalesce(len(list_intersect(x.w, y.w)) / nullif(len(list_distinct(list_concat(x.w, y.w))), 0), 0), 9) AS score FROM s JOIN d x USING (passage_id) JOIN d y ON y.passage_id = q)
+SELECT q, passage_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, f, passage_id) AS rank FROM j) WHERE rank <= 5""")
+def asof_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool of both searches by the share of words in common, in place of a model's score."""
+    return _retrieved(spark, sf_dir, "rerank", 5).select("q", "passage_id", "rank")
+
+
 _TWO = f"{_ranked_sql(50, 64, 'a')}, {_ranked_sql(50, 32, 'b')}"
 
 

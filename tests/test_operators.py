@@ -365,3 +365,28 @@ def test_history_sample_and_midpoint(spark, rows):
 def test_bootstrap_kappa_draws_as_often_as_the_reference(spark):
     pairs = spark.createDataFrame([(i, i % 2, (i % 5 > 0) * (i % 2)) for i in range(60)], "i int, a int, b int")
     assert stats.bootstrap_kappa(pairs, "i", "a", "b").first().defined == 2000
+
+
+def test_all_six_methods(spark):
+    lists = {"v": ranked(spark, "a", "b"), "w": ranked(spark, "b", "c")}
+    asked = []
+
+    def search(name):
+        return lambda *of: asked.append((name, *of)) or lists[name].where(F.col("rank") <= of[-1])
+
+    def keys(method, k=3):
+        found = retrieval.retrieve(method, search("v"), search("w"), F.col("wanted"), "q", "k", k, lambda pooled: pooled.withColumn("wanted", F.ascii("k")))
+        return [r.k for r in found.orderBy("rank").collect()]
+
+    assert keys("lexical") == ["b", "c"] and asked == [("w", 3)]
+    assert keys("rerank-vector") == ["b", "a"] and asked[1:] == [("v", True, 40)]
+    assert keys("rerank") == ["c", "b", "a"] and asked[2:] == [("v", True, 20), ("w", 20)]
+    assert len(retrieval.METHODS) == 6 and keys("naive") == keys("as-of") == ["a", "b"] and keys("hybrid", 1) == ["b"]
+
+
+def test_hybrid_finds_what_only_words_find(spark):
+    import __spark_entry__
+
+    found = __spark_entry__.queries()["asof_hybrid"](spark, "/root/testdata/sf0.001").select("passage_id").distinct()
+    with_vector = __spark_entry__.queries()["vector_topk_asof"](spark, "/root/testdata/sf0.001").select("passage_id")
+    assert found.count() > 0 and found.join(with_vector, "passage_id", "left_anti").count() > 0
