@@ -114,8 +114,8 @@ _WORD = re.compile(r"[A-Za-z0-9']+")
 def redacted(answer: str | None, passages: Sequence[tuple[str, str]], run: int = MIN_RUN) -> tuple[str | None, int]:
     """The answer with every stretch of ``run`` or more words that a passage has too replaced by a note, and how many there were.
 
-    Left to right; a stretch belongs to the first passage that has its first ``run`` words and reaches as far as that passage goes on
-    saying the same. Case and punctuation don't matter.
+    Left to right; a stretch belongs to the first passage that has its first ``run`` words and reaches as far as that passage, or another
+    text of its reference, goes on saying the same. Case and punctuation don't matter.
     """
     if answer is None:
         return None, 0
@@ -134,7 +134,7 @@ def redacted(answer: str | None, passages: Sequence[tuple[str, str]], run: int =
             continue
         owner, length = found[0][0], run
         for p, i in found:
-            if p == owner:
+            if passages[p][0] == passages[owner][0]:
                 n = run
                 while at + n < len(said) and i + n < len(texts[p]) and said[at + n] == texts[p][i + n]:
                     n += 1

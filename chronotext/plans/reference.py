@@ -449,7 +449,8 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quote_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers without what they copy from the passages that they cite."""
     rows = table(spark, sf_dir, "generations").dropDuplicates(["gen_id"]).where("text IS NOT NULL").select("gen_id", "text", F.explode_outer(answers.citations(c("text"))).alias("ref"))
-    texts = _passages(spark, sf_dir).groupBy("ref").agg(F.max_by("text", "passage_id").alias("passage"))
+    # All texts of a reference: an answer may copy what was said before it was restated.
+    texts = _passages(spark, sf_dir).where("text IS NOT NULL").select("ref", c("text").alias("passage")).distinct()
     held = rows.join(texts, "ref", "left").groupBy("gen_id", "text").agg(F.array_sort(F.collect_list(F.when(c("passage").isNotNull(), F.struct("ref", "passage")))).alias("p"))
     clean = held.withColumn("r", answers.redact(c("text"), F.transform("p", lambda x: x["ref"]), F.transform("p", lambda x: x["passage"])))
     return clean.select("gen_id", c("r.quotes").alias("quotes"), c("r.answer").alias("answer"))

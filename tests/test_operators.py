@@ -390,3 +390,14 @@ def test_hybrid_finds_what_only_words_find(spark):
     found = __spark_entry__.queries()["asof_hybrid"](spark, "/root/testdata/sf0.001").select("passage_id").distinct()
     with_vector = __spark_entry__.queries()["vector_topk_asof"](spark, "/root/testdata/sf0.001").select("passage_id")
     assert found.count() > 0 and found.join(with_vector, "passage_id", "left_anti").count() > 0
+
+
+def test_quotes_of_every_text_of_a_reference(spark, tmp_path):
+    from chronotext.plans.reference import quote_redaction
+
+    head = "one two three four five six seven eight nine ten"
+    early = head + " eleven twelve thirteen"
+    spark.createDataFrame([(1, "core@1.3:419", early), (2, "core@1.3:419 ", head + " other"), (3, "core@1.3:419", "quite another wording")], "passage_id bigint, source_ref string, text string").write.parquet(f"{tmp_path}/passages.parquet")
+    spark.createDataFrame([(1, f"It says {early} [core@1.3:419].")], "gen_id bigint, text string").write.parquet(f"{tmp_path}/generations.parquet")
+    [row] = quote_redaction(spark, str(tmp_path)).collect()
+    assert row.quotes == 1 and "thirteen" not in row.answer
