@@ -49,6 +49,31 @@ def salted_join(
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def grid_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread_left: Column, spread_right: Column, min_rows: int = MIN_HOT_ROWS,
+    sizes_of: DataFrame | None = None,
+) -> DataFrame:
+    """``left JOIN right USING (on)`` where a key may be hot on both sides.
+
+    The rows of a hot key form a grid: left rows are cut into ``_salts`` rows of it, right rows into as many columns, and each of
+    its cells is a key of its own, so that no task meets more than a fair share of either side. ``sizes_of`` is as in ``salted_join``;
+    it should count both sides where the left one doesn't tell about the right.
+    """
+    on = list(on)
+    hot = materialize(hot_keys(left if sizes_of is None else sizes_of, on, min_rows))
+    if hot.isEmpty():
+        return left.join(right, on)
+    cut = F.coalesce(F.col("_salts"), F.lit(1))
+    every = F.explode(F.sequence(F.lit(0), cut - 1))
+
+    def cells(rows: DataFrame, spread: Column, own: str, other: str) -> DataFrame:
+        marked = rows.join(F.broadcast(hot), on, "left").withColumn(own, F.pmod(F.xxhash64(spread), cut).cast("int"))
+        return marked.withColumn(other, every).drop("_salts")
+
+    both = cells(left, spread_left, "_row", "_column").join(cells(right, spread_right, "_column", "_row"), [*on, "_row", "_column"])
+    return both.drop("_row", "_column")
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows

@@ -12,6 +12,14 @@ def test_salted_join_is_a_join(spark, rows):
         assert rows(skew.salted_join(left, right, ["k"], F.col("x"), how, 100).select(*plain.columns)) == rows(plain)
 
 
+def test_grid_join_is_a_join(spark, rows):
+    left = spark.range(900).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    right = spark.range(700).select(F.when(F.col("id") % 2 > 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("y"))
+    plain = left.join(right, "k")
+    assert rows(skew.grid_join(left, right, ["k"], F.col("x"), F.col("y"), 100).select(*plain.columns)) == rows(plain)
+    assert rows(skew.grid_join(left, right, ["k"], F.col("x"), F.col("y")).select(*plain.columns)) == rows(plain)
+
+
 def test_row_numbers_follow_the_order(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 10).alias("a"), F.col("id").alias("b")).repartition(4)
     got = skew.row_numbers(df, ["a", "b"]).orderBy("row_number").collect()
