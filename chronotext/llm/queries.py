@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a rule: its class of equal texts and the number of similar classes."""
     members, classes = _rule_classes(spark, sf_dir)
-    report = neardup.copy_report(members, classes, neardup.class_pairs(classes))
+    report = neardup.copy_report(members, neardup.class_pairs(classes))
     return report.select(F.col("id").alias("rule_id"), "class_id", "links")
 
 

@@ -65,5 +65,5 @@ def test_against_brute_force_with_a_hot_group(spark):
 def test_report_has_one_row_an_id(spark):
     body = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     members, kinds = classes(spark, [(1, "1", body), (2, "2", body), (3, "3", body + " more"), (4, "4", "entirely other words stand in this text so that nothing is shared at all here")])
-    report = {r.id: (r.class_id, r.links) for r in neardup.copy_report(members, kinds, neardup.class_pairs(kinds)).collect()}
+    report = {r.id: (r.class_id, r.links) for r in neardup.copy_report(members, neardup.class_pairs(kinds)).collect()}
     assert report == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (4, 0)}
