@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,6 +112,24 @@ def signals(answer: Column, tokens: Column, cited_in_effect: Column, retrieved:
 _WORD = re.compile(r"[A-Za-z0-9']+")
 
 
+def _tokens(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
+    """The words of a text as they are compared, and where each stands."""
+    found = list(_WORD.finditer(text or ""))
+    return [m.group().lower().strip("'") for m in found], [m.span() for m in found]
+
+
+def shared_from(said: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """For each place in ``said`` the length of the longest stretch from there on that stands somewhere in ``held`` too."""
+    longest = np.zeros(len(said), np.int64)
+    after = np.zeros(len(said) + 1, np.int64)
+    # Read from its end: a stretch from a word is one longer than that from the next word of both.
+    for word in held[::-1]:
+        here = np.append(np.where(said == word, after[1:] + 1, 0), 0)
+        np.maximum(longest, here[:-1], out=longest)
+        after = here
+    return longest
+
+
 def redacted(answer: str | None, passages: Sequence[tuple[str, str]], run: int = MIN_RUN) -> tuple[str | None, int]:
     """The answer with every stretch of ``run`` or more words that a passage has too replaced by a note, and how many there were.
 
@@ -119,29 +138,23 @@ def redacted(answer: str | None, passages: Sequence[tuple[str, str]], run: int =
     """
     if answer is None:
         return None, 0
-    spans = [(m.start(), m.end(), m.group().lower().strip("'")) for m in _WORD.finditer(answer)]
-    said = [w for *_, w in spans]
-    places: dict[tuple[str, ...], list[tuple[int, int]]] = {}
-    texts = [[w.lower().strip("'") for w in _WORD.findall(text or "")] for _, text in passages]
-    for p, held in enumerate(texts):
-        for i in range(len(held) - run + 1):
-            places.setdefault(tuple(held[i : i + run]), []).append((p, i))
-    out, done, count, at = [], 0, 0, 0
-    while at + run <= len(said):
-        found = places.get(tuple(said[at : at + run]))
-        if not found:
-            at += 1
-            continue
-        owner, length = found[0][0], run
-        for p, i in found:
-            if passages[p][0] == passages[owner][0]:
-                n = run
-                while at + n < len(said) and i + n < len(texts[p]) and said[at + n] == texts[p][i + n]:
-                    n += 1
-                length = max(length, n)
-        out += [answer[done : spans[at][0]], f"[quoted text from {passages[owner][0]} removed]"]
-        done, count, at = spans[at + length - 1][1], count + 1, at + length
-    return "".join(out) + answer[done:], count
+    words, places = _tokens(answer)
+    if len(words) < run or not passages:
+        return answer, 0
+    code: dict[str, int] = {}
+    said = np.array([code.setdefault(w, len(code)) for w in words])
+    reach = np.stack([shared_from(said, np.array([code.get(w, -1) for w in _tokens(text)[0]])) for _, text in passages])
+    refs = [ref for ref, _ in passages]
+    notes, free = [], 0
+    for at in np.flatnonzero((reach >= run).any(0)):
+        if at >= free:
+            ref = refs[int(np.argmax(reach[:, at] >= run))]
+            free = at + int(reach[[r == ref for r in refs], at].max())
+            notes.append((places[at][0], places[free - 1][1], f"[quoted text from {ref} removed]"))
+    clean = answer
+    for start, stop, note in reversed(notes):
+        clean = clean[:start] + note + clean[stop:]
+    return clean, len(notes)
 
 
 @F.pandas_udf(T.StructType([T.StructField("answer", T.StringType()), T.StructField("quotes", T.IntegerType())]))

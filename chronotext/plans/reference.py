@@ -363,7 +363,7 @@ def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The interval of kappa over all pairs of raters."""
-    return stats.bootstrap_kappa(_rater_pairs(spark, sf_dir).withColumn("k", F.concat_ws("/", "doc_id", "a", "b")), "k", "x", "y")
+    return stats.bootstrap_kappa(_rater_pairs(spark, sf_dir), "x", "y")
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

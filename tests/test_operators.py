@@ -69,7 +69,13 @@ def test_closed_forms(spark):
     assert (round(r[0].low, 2), round(r[0].high, 2)) == (0.70, 0.97) and tuple(r[1]) == (0.0, 1.0)
     assert r[2] == pytest.approx(0.03125) and r[3] == pytest.approx(stats.exact_p(22, 11)) and r[4] == 1.0 and r[5] == 1.0
     assert stats.least_discordant() == 6
-    assert stats.mcnemar_power(40, 0.3, 0.9) > stats.mcnemar_power(40, 0.3, 0.7) > 0.05
+    plans = [(40, 0.3, 0.9), (40, 0.3, 0.7), (12, 0.5, 0.8), (0, 0.5, 0.5), (40, 0.3, 0.9)]
+    got = stats.mcnemar_power(spark.createDataFrame(plans, "n int, discordant double, gain double"))
+    power = {(x.n, x.gain): x.power for x in got.collect()}
+    assert got.count() == 5 and power[40, 0.9] > power[40, 0.7] > 0.05 and power[0, 0.5] == 0
+    split = lambda k, n, p: math.comb(n, k) * p**k * (1 - p) ** (n - k)
+    assert power[12, 0.8] == pytest.approx(sum(split(d, 12, 0.5) * split(g, d, 0.8) for d in range(13) for g in range(d + 1) if stats.exact_p(g, d - g) < 0.05))
+    assert one(spark, stats.half_width(F.lit(0.5), F.lit(20)))[0] == pytest.approx((lambda w: (w.high - w.low) / 2)(one(spark, stats.wilson(F.lit(10), F.lit(20)))[0]))
 
 
 def test_kappa(spark):
@@ -80,7 +86,7 @@ def test_kappa(spark):
     assert (n, agree) == (8, 7) and k == pytest.approx((po - pe) / (1 - pe))
     assert stats.kappa(spark.createDataFrame([(1, 1)] * 3, "a int, b int"), [], "a", "b").first().kappa is None
     more = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs * 20)], "i int, a int, b int")
-    ci = stats.bootstrap_kappa(more, "i", "a", "b", 100).first()
+    ci = stats.bootstrap_kappa(more, "a", "b", 100).first()
     assert ci.low < k < ci.high and ci.defined == 100
     assert one(spark, stats.agreement_word(F.lit(0.77)))[0] == "substantial"
 
@@ -249,10 +255,12 @@ def test_injection_cases(spark):
 # --- parsing ---
 
 
-def test_stray_numbers_are_folded_back():
+def test_stray_numbers_are_folded_back(spark):
     text = "Intro\n100. Start\nSee rule\n467. Scoring here\n100.1. One\r\n100.1.a. Sub\n100.1.b. wrapped\nline\n101. 1. A list item\n099. stray"
-    assert parse.rules_of(text) == [("100", "Start See rule 467. Scoring here"), ("100.1", "One"), ("100.1.a", "Sub"), ("100.1.b", "wrapped line"), ("101", "1. A list item 099. stray")]
-    assert parse.rules_of(None) == [] == parse.rules_of("no rules\nat all")
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "no rules\nat all"), (4, "")], "d int, t string")
+    got = parse.parse_rules(docs, "d", "t").orderBy("d", "place").collect()
+    assert {r.d for r in got} == {1} and [r.place for r in got] == list(range(5))
+    assert [(r.number, r.text) for r in got] == [("100", "Start See rule 467. Scoring here"), ("100.1", "One"), ("100.1.a", "Sub"), ("100.1.b", "wrapped line"), ("101", "1. A list item 099. stray")]
 
 
 def test_longest_rise_is_longest():
@@ -364,7 +372,7 @@ def test_history_sample_and_midpoint(spark, rows):
 
 def test_bootstrap_kappa_draws_as_often_as_the_reference(spark):
     pairs = spark.createDataFrame([(i, i % 2, (i % 5 > 0) * (i % 2)) for i in range(60)], "i int, a int, b int")
-    assert stats.bootstrap_kappa(pairs, "i", "a", "b").first().defined == 2000
+    assert stats.bootstrap_kappa(pairs, "a", "b").first().defined == 2000
 
 
 def test_all_six_methods(spark):
