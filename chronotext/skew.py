@@ -26,17 +26,18 @@ def hot_keys(rows: DataFrame, on: Sequence[str], min_rows: int = MIN_HOT_ROWS) -
 
 def salted_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], spread: Column, how: str = "inner", min_rows: int = MIN_HOT_ROWS,
-    sizes_of: DataFrame | None = None,
+    sizes_of: DataFrame | None = None, hot: DataFrame | None = None,
 ) -> DataFrame:
     """``left JOIN right USING (on)`` where ``left`` may have hot keys and ``right`` has few rows a key.
 
     The left rows of a hot key are spread over ``_salts`` tasks by the hash of ``spread`` (a column that differs between
     them), and only for those keys are the right rows repeated. ``how`` is inner, left or left_anti/left_semi.
     The hot keys are found first, in a job of
-    their own; without any the join is a plain one. ``sizes_of``: the rows whose keys are counted, where the left ones are dear to make and another table tells as much.
+    their own; without any the join is a plain one. ``sizes_of``: the rows whose keys are counted, where the left ones are dear to make and another table tells as much;
+    ``hot``: the stored ``hot_keys``, where they are known.
     """
     on = list(on)
-    hot = materialize(hot_keys(left if sizes_of is None else sizes_of, on, min_rows))
+    hot = materialize(hot_keys(left if sizes_of is None else sizes_of, on, min_rows)) if hot is None else hot
     if hot.isEmpty():
         return left.join(right, on, how)
     salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"))
@@ -51,16 +52,16 @@ def salted_join(
 
 def grid_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], spread_left: Column, spread_right: Column, min_rows: int = MIN_HOT_ROWS,
-    sizes_of: DataFrame | None = None,
+    sizes_of: DataFrame | None = None, hot: DataFrame | None = None,
 ) -> DataFrame:
     """``left JOIN right USING (on)`` where a key may be hot on both sides.
 
     The rows of a hot key form a grid: left rows are cut into ``_salts`` rows of it, right rows into as many columns, and each of
-    its cells is a key of its own, so that no task meets more than a fair share of either side. ``sizes_of`` is as in ``salted_join``;
-    it should count both sides where the left one doesn't tell about the right.
+    its cells is a key of its own, so that no task meets more than a fair share of either side. ``sizes_of`` and ``hot`` are as in ``salted_join``;
+    the first should count both sides where the left one doesn't tell about the right.
     """
     on = list(on)
-    hot = materialize(hot_keys(left if sizes_of is None else sizes_of, on, min_rows))
+    hot = materialize(hot_keys(left if sizes_of is None else sizes_of, on, min_rows)) if hot is None else hot
     if hot.isEmpty():
         return left.join(right, on)
     cut = F.coalesce(F.col("_salts"), F.lit(1))
