@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotext.session import materialize
-from chronotext.skew import fits, grid_join, salted_join
+from chronotext.skew import fits, grid_join, hot_keys, salted_join
 
 THRESHOLD = 0.5
 MIN_WORDS = 12
@@ -131,11 +131,12 @@ def text_classes(texts: DataFrame, *, row_id: Column, text: Column, min_words: i
     # Only classes of several rows are put together, so that the sets of the others needn't move.
     several = sets.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows"), F.min("cid").alias("first"), F.min("id").alias("class_id"))
     several = materialize(several.where("rows > 1").drop("rows"))
-    together = materialize(salted_join(sets.select("k1", "k2", "id", "cid"), several, ["k1", "k2"], F.col("cid")).select("id", "cid", "first", "class_id"))
-    others = together.where("cid <> first").select("cid")
-    one_each = sets.join(F.broadcast(others) if fits(others, BROADCAST_ROWS) else others, "cid", "left_anti")
-    firsts = together.where("cid = first").select("cid", F.col("class_id").alias("of"))
-    classes = one_each.join(F.broadcast(firsts) if fits(firsts, BROADCAST_ROWS) else firsts, "cid", "left")
+    keys = sets.select("k1", "k2", "id", "cid")
+    few = fits(several, BROADCAST_ROWS)
+    together = keys.join(F.broadcast(several), ["k1", "k2"]) if few else salted_join(keys, several, ["k1", "k2"], F.col("cid"))
+    together = materialize(together.select("id", "cid", "first", "class_id"))
+    marks = together.select("cid", (F.col("cid") == F.col("first")).alias("stands"), F.col("class_id").alias("of"))
+    classes = sets.join(F.broadcast(marks) if few and fits(marks, BROADCAST_ROWS) else marks, "cid", "left").where("stands IS NULL OR stands")
     classes = classes.select("cid", F.coalesce("of", "id").alias("class_id"), F.col("of").isNull().alias("lone"), "n", *_NUMBERS[3:], "grams")
     alone = classes.where("lone").select(F.col("class_id").alias("id"), "cid", "class_id", "lone")
     mates = together.select("id", F.col("first").alias("cid"), "class_id", F.lit(False).alias("lone")).distinct()
@@ -153,7 +154,8 @@ def _heads(classes: DataFrame, threshold: float) -> DataFrame:
     grams = classes.select("cid", F.explode("grams").alias("g"))
     common = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     mark = F.shiftleft(F.least("df", F.lit(MOST)), MARK).bitwiseOR(F.col("g").bitwiseAND((1 << MARK) - 1))
-    ranked = grams.join(common, "g").groupBy("cid").agg(F.sort_array(F.collect_list(mark)).alias("t"))
+    # Each sequence stands in ``common`` once: no more of it in a task than its share, so no side need be sorted.
+    ranked = grams.join(common.hint("shuffle_hash"), "g").groupBy("cid").agg(F.sort_array(F.collect_list(mark)).alias("t"))
     ranked = ranked.join(classes.select("cid", "n"), "cid")
     first = lambda share: (F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1).cast("int")
     alone = F.col("n") - F.size("t")
@@ -181,7 +183,7 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     # A tile has no more rows of a side than its sequence has classes.
     busy = home.select("t", "tile").unionByName(roles.select("t", "tile")).where(F.shiftright("t", MARK) >= 10_000)
-    met = grid_join(home, roles, ["t", "tile"], F.col("x"), F.col("y"), sizes_of=busy)
+    met = grid_join(home, roles.hint("shuffle_hash"), ["t", "tile"], F.col("x"), F.col("y"), sizes_of=busy)
     wanted = (F.col("nx") + F.col("ny")) * F.lit(threshold) - 1e-6
     # A pair meets first where nothing before is shared: there the rest of either bounds the overlap.
     enough = F.least("lx", "ly") * (1 + threshold) >= wanted
@@ -203,15 +205,17 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def near_copies(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """``a`` < ``b``: every two ids whose texts are similar, class mates included. The result is as large as the pairs that exist."""
-    mates = members.where("NOT lone")
+    mates = materialize(members.where("NOT lone"))
+    hot = materialize(hot_keys(mates, ["cid"]))
+    of = lambda name: hot.withColumnRenamed("cid", name)
     x, y = mates.select(F.col("cid").alias("a"), F.col("id").alias("x")), mates.select(F.col("cid").alias("b"), F.col("id").alias("y"))
     # Only a class may have many members; they are the side that is spread.
     links = pairs.select("a", "a_id", "a_lone", "b", "b_id", "b_lone")
     half = links.where("a_lone").select(F.col("a_id").alias("x"), "b", "b_id", "b_lone").unionByName(
-        salted_join(x, links.where("NOT a_lone"), ["a"], F.col("x")).select("x", "b", "b_id", "b_lone")
+        salted_join(x, links.where("NOT a_lone"), ["a"], F.col("x"), hot=of("a")).select("x", "b", "b_id", "b_lone")
     )
-    across = half.where("b_lone").select("x", F.col("b_id").alias("y")).unionByName(salted_join(y, half.where("NOT b_lone"), ["b"], F.col("y")).select("x", "y"))
-    inside = grid_join(x, y.withColumnRenamed("b", "a"), ["a"], F.col("x"), F.col("y")).where("x < y").select("x", "y")
+    across = half.where("b_lone").select("x", F.col("b_id").alias("y")).unionByName(salted_join(y, half.where("NOT b_lone"), ["b"], F.col("y"), hot=of("b")).select("x", "y"))
+    inside = grid_join(x, y.withColumnRenamed("b", "a"), ["a"], F.col("x"), F.col("y"), hot=of("a")).where("x < y").select("x", "y")
     found = across.unionByName(inside).where("x <> y")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
