@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronotext.skew import row_numbers
+
 
 def content_hash(text: Column) -> Column:
     """``sha256:`` and the digest of the UTF-8 text."""
@@ -30,6 +32,12 @@ def fingerprint(rows: DataFrame, by: Sequence[str], text: Column) -> DataFrame:
     return sums.select(*by, "rows", F.sha2(F.concat_ws(" ", F.col("rows").cast("string"), *[f"s{i}" for i in range(8)]), 256).alias("fingerprint"))
 
 
+def ordered_fingerprint(rows: DataFrame, order: Sequence[str], text: Column) -> str:
+    """``fingerprint`` of all lines each with its place in the total ``order``: equal only for equal lists."""
+    placed = row_numbers(rows.select(*order, text.alias("_line")), order, "_place")
+    return fingerprint(placed, [], line(F.col("_place"), F.col("_line"))).first()["fingerprint"]
+
+
 def cache_misses(wanted: DataFrame, cache: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct keys of ``wanted`` that the cache lacks."""
     return wanted.select(*keys).distinct().join(cache.select(*keys), list(keys), "left_anti")
@@ -59,9 +67,15 @@ def repeatable(runs: DataFrame, by: Sequence[str], output: str) -> DataFrame:
     return rows.withColumn("same", F.col("outputs") == 1)
 
 
+def same_as_control(runs: DataFrame, control: DataFrame, by: Sequence[str], nth: str, output: str, repeat: int = 2) -> DataFrame:
+    """``prompts``, ``same``: how many prompts of ``runs`` gave in their first run (``nth`` = 1) what ``control`` gave in run ``repeat``. Prompts that only one has aren't compared."""
+    digest = F.coalesce(F.sha2(F.col(output), 256), F.lit("None"))
+    first = runs.where(F.col(nth) == 1).select(*by, digest.alias("_a"))
+    other = control.where(F.col(nth) == repeat).select(*by, digest.alias("_b"))
+    return first.join(other, list(by)).agg(F.count(F.lit(1)).alias("prompts"), F.count(F.when(F.col("_a") == F.col("_b"), 1)).alias("same"))
+
+
 def stratified_sample(rows: DataFrame, stratum: str, key: str, seed: int, n: int) -> DataFrame:
     """``n`` rows a stratum (a null one included), the first by the digest of seed and key: the same rows on every run, however they are partitioned."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(stratum).orderBy(F.sha2(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string")), 256), key)
     return rows.withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -10,12 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chronotext.functions.text import words
 
 RRF_K, RRF_DEPTH = 60, 50
-#: Queries that are compared with all rows at once; more take several passes.
-QUERY_BLOCK = 4_096
+#: Queries, and words of them, that are compared with all rows at once; more take several passes. Rows that a task compares at once.
+QUERY_BLOCK, QUERY_TERMS, ROW_BLOCK = 4_096, 500_000, 512
 # Words too common to search by.
 STOPWORDS = "a an and are as at be but by can do does for from has have if in into is it its may no not of on or such that the their then there these they this to was when which will with would your you".split()
 
@@ -25,68 +27,149 @@ def top(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) ->
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+class _Best:
+    """The ``k`` lowest values of every query over the blocks seen so far, ties going to the lower id."""
+
+    def __init__(self, queries: int, k: int, ids: type):
+        self.k, self.values, self.ids = k, np.empty((queries, 0)), np.empty((queries, 0), ids)
+
+    def add(self, values: np.ndarray, ids: np.ndarray) -> None:
+        """``values`` (queries x rows, infinite for none) of the rows ``ids``."""
+        values = np.concatenate([self.values, values], axis=1)
+        if values.shape[1] > self.k:
+            last = np.partition(values, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            at, column = np.nonzero((values <= last) & np.isfinite(values))
+        else:
+            at, column = np.nonzero(np.isfinite(values))
+        held = self.values.shape[1]
+        old = column < held
+        names = np.empty(len(at), self.ids.dtype)
+        names[old], names[~old] = self.ids[at[old], column[old]], ids[column[~old] - held]
+        order = np.lexsort((np.unique(names, return_inverse=True)[1], values[at, column], at))
+        at, column, names = at[order], column[order], names[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        few = place < self.k
+        best = np.full((len(values), min(self.k, values.shape[1])), np.inf)
+        found = np.zeros(best.shape, self.ids.dtype)
+        best[at[few], place[few]], found[at[few], place[few]] = values[at, column][few], names[few]
+        self.values, self.ids = best, found
+
+    def batch(self, queries: list, kind: pa.DataType, q_kind: pa.DataType) -> pa.RecordBatch:
+        at, place = np.nonzero(np.isfinite(self.values))
+        names = pa.array(self.ids[at, place].tolist(), kind)
+        return pa.RecordBatch.from_arrays([pa.array([queries[i] for i in at], q_kind), names, pa.array(self.values[at, place])], ["q", "c", "value"])
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, type]:
+    kind = np.int64 if pa.types.is_integer(column.type) else object
+    return np.array(column.to_pylist(), kind), kind
+
+
 def cosine_top(chunks: DataFrame, queries: DataFrame, *, chunk_id: str, query_id: str, vector: str, k: int) -> DataFrame:
     """``query_id``, ``chunk_id``, ``distance`` (1 - cosine), ``rank``: the ``k`` nearest chunks of every query, exactly.
 
     Filter ``chunks`` first (as of a date, say): ranking comes after. Vectors of another length than the queries', null,
-    zero or not finite ones are left out. Ties go to the lower id. Queries are sent out in blocks of bounded size; each task
-    keeps its ``k`` best a block of rows, and a window takes the best of those.
+    zero or not finite ones are left out, as are null ids; a repeated row takes a place of its own. Ties go to the lower id. Queries are sent
+    out in blocks of bounded size; a task compares a few rows at a time, keeps its ``k`` best of all and sends on those alone.
     """
     usable = f"{vector} IS NOT NULL AND size({vector}) > 0 AND NOT exists({vector}, x -> x IS NULL OR isnan(x) OR abs(x) = float('inf')) AND exists({vector}, x -> x <> 0)"
-    asked = queries.where(usable).select(F.col(query_id).alias("q"), F.col(vector).alias("v"))
-    rows = chunks.where(usable).select(F.col(chunk_id).alias("c"), F.col(vector).alias("v"))
+    asked = queries.where(usable).select(F.col(query_id).alias("q"), F.col(vector).alias("v")).where("q IS NOT NULL")
+    rows = chunks.where(usable).select(F.col(chunk_id).alias("c"), F.col(vector).alias("v")).where("c IS NOT NULL")
     spark = chunks.sparkSession
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    kinds = f"q {asked.schema['q'].dataType.simpleString()}, c {rows.schema['c'].dataType.simpleString()}, distance double"
+    kinds = f"q {asked.schema['q'].dataType.simpleString()}, c {rows.schema['c'].dataType.simpleString()}, value double"
+    q_kind = to_arrow_type(asked.schema["q"].dataType)
 
     def search(block: int) -> DataFrame:
         part = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).orderBy("q").collect()
         shared = spark.sparkContext.broadcast(([r.q for r in part], [r.v for r in part]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, vectors = shared.value
-            if not ids:
+            names, vectors = shared.value
+            if not names:
                 return
             width = len(vectors[0])
             unit = np.array(vectors, float)
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            best, kind = None, None
             for batch in batches:
                 lists = batch.column("v")
                 right = np.flatnonzero(lists.value_lengths().to_numpy(zero_copy_only=False) == width)
-                if not len(right):
-                    continue
-                lists = lists.take(pa.array(right))
-                names = batch.column("c").take(pa.array(right))
-                x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-                distance = 1 - unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(names.to_numpy(zero_copy_only=False))), distance.shape), distance.round(12)), axis=1)[:, :k]
-                q = np.repeat(np.arange(len(ids)), order.shape[1])
-                c = order.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), names.take(pa.array(c)), pa.array(distance[q, c])], ["q", "c", "distance"])
+                kind = batch.column("c").type
+                for at in range(0, len(right), ROW_BLOCK):
+                    some = pa.array(right[at : at + ROW_BLOCK])
+                    x = lists.take(some).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+                    ids, dtype = _ids(batch.column("c").take(some))
+                    best = best or _Best(len(names), k, dtype)
+                    best.add((1 - unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T).round(12), ids)
+            if best:
+                yield best.batch(names, kind, q_kind)
 
         return rows.mapInArrow(run, kinds)
 
     found = reduce(DataFrame.unionByName, [search(b) for b in range(blocks)])
-    best = top(found, ["q"], [F.round("distance", 12), F.col("c")], k)
-    return best.select(F.col("q").alias(query_id), F.col("c").alias(chunk_id), "distance", "rank")
+    best = top(found, ["q"], [F.col("value"), F.col("c")], k)
+    return best.select(F.col("q").alias(query_id), F.col("c").alias(chunk_id), F.col("value").alias("distance"), "rank")
 
 
 def word_top(documents: DataFrame, queries: DataFrame, *, doc_id: str, query_id: str, text: str, k: int) -> DataFrame:
     """``query_id``, ``doc_id``, ``score``, ``rank``: documents that share words with a query.
 
     The query's words are ORed (stop words left out); the score is the number of their occurrences over 1 + ln(words of the
-    document). Null and empty texts match nothing, ties go to the lower id.
+    document). Null and empty texts match nothing, null ids are left out, a repeated row takes a place of its own, ties go to the lower id.
+    As in ``cosine_top`` the queries go out in blocks (of so many queries and words) and a task sends on its ``k`` best a query: pairs of
+    query and document that share a word are counted where the document stands and never moved.
     """
-    def terms(rows: DataFrame, key: str) -> DataFrame:
-        w = rows.select(F.col(key).alias("id"), words(F.col(text)).alias("w"))
-        return w.select("id", F.size("w").alias("n"), F.explode("w").alias("term")).where(~F.col("term").isin(STOPWORDS))
-
-    asked = terms(queries, query_id).select(F.col("id").alias("q"), "term").distinct()
-    held = terms(documents, doc_id).groupBy("id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    matched = held.join(asked, "term").groupBy("q", "id", "n").agg(F.sum("tf").alias("hits"))
-    scored = matched.withColumn("score", F.col("hits") / (1 + F.log("n")))
-    best = top(scored, ["q"], [F.desc(F.round("score", 9)), F.col("id")], k)
-    return best.select(F.col("q").alias(query_id), F.col("id").alias(doc_id), "score", "rank")
+    bare = F.filter(F.array_distinct(words(F.col(text))), lambda w: ~w.isin(STOPWORDS))
+    asked = queries.select(F.col(query_id).alias("q"), bare.alias("terms")).where("q IS NOT NULL AND size(terms) > 0")
+    rows = documents.select(F.col(doc_id).alias("c"), words(F.col(text)).alias("w")).where("c IS NOT NULL AND size(w) > 0")
+    spark = documents.sparkSession
+    size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    blocks = max(1, math.ceil(size[0] / QUERY_BLOCK), math.ceil(size[1] / QUERY_TERMS))
+    kinds = f"q {asked.schema['q'].dataType.simpleString()}, c {rows.schema['c'].dataType.simpleString()}, value double"
+    q_kind = to_arrow_type(asked.schema["q"].dataType)
+
+    def search(block: int) -> DataFrame:
+        part = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).collect()
+        by_query: dict = {}
+        for row in part:
+            by_query.setdefault(row.q, set()).update(row.terms)
+        shared = spark.sparkContext.broadcast(sorted((q, sorted(terms)) for q, terms in by_query.items()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = [q for q, _ in shared.value]
+            asking: dict[str, list[int]] = {}
+            for i, (_, terms) in enumerate(shared.value):
+                for term in terms:
+                    asking.setdefault(term, []).append(i)
+            best, kind = None, None
+            for batch in batches:
+                kind = batch.column("c").type
+                ids, dtype = _ids(batch.column("c"))
+                best = best or _Best(len(names), k, dtype)
+                lists = batch.column("w")
+                for at in range(0, len(ids), ROW_BLOCK):
+                    texts = lists.slice(at, ROW_BLOCK).to_pylist()
+                    hits = np.zeros((len(names), len(texts)))
+                    places: dict[str, tuple[list[int], list[int]]] = {}
+                    for j, text_words in enumerate(texts):
+                        for term, times in Counter(text_words).items():
+                            if term in asking:
+                                docs, counts = places.setdefault(term, ([], []))
+                                docs.append(j)
+                                counts.append(times)
+                    for term, (docs, counts) in places.items():
+                        hits[np.ix_(asking[term], docs)] += counts
+                    scores = (hits / (1 + np.log([len(w) for w in texts]))).round(9)
+                    best.add(np.where(hits > 0, -scores, np.inf), ids[at : at + ROW_BLOCK])
+            if best:
+                yield best.batch(names, kind, q_kind)
+
+        return rows.mapInArrow(run, kinds)
+
+    found = reduce(DataFrame.unionByName, [search(b) for b in range(blocks)])
+    best = top(found, ["q"], [F.col("value"), F.col("c")], k)
+    return best.select(F.col("q").alias(query_id), F.col("c").alias(doc_id), (-F.col("value")).alias("score"), "rank")
 
 
 def fuse(lists: Sequence[DataFrame], by: str, key: str, k: int, rrf_k: int = RRF_K, depth: int = RRF_DEPTH) -> DataFrame:

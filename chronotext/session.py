@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +23,11 @@ def reach_workers(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A session with the settings this library is tested under. ``conf`` keys use ``__`` for dots."""
+def get_session(master: str = "local[*]", shuffle_partitions: int = 8, shared: str | None = None, **conf: str) -> SparkSession:
+    """A session with the settings this library is tested under. ``conf`` keys use ``__`` for dots.
+
+    ``shared`` is the folder for lineage cuts, one that all machines see; a session on one machine may do without.
+    """
     builder = (
         SparkSession.builder.master(master)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -31,16 +36,21 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: s
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return reach_workers(builder.getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), one of our own, set once."""
+    """The folder of ``spark.checkpoint.dir``. Only where driver and executors are one process (tests) and it is unset: one of our own, set once."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        master = context.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-chronotext-")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -61,11 +71,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete what ``materialize`` wrote in this process and return how many tables that was; for use once the results are stored."""
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``materialize`` wrote meanwhile; store the results before."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Delete what ``materialize`` wrote in this process, but for the first ``keep`` tables, and return how many that was; for use once the results are stored."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    count = len(_made)
-    while _made:
+    count = len(_made) - keep
+    while len(_made) > keep:
         path = hadoop(_made.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return count

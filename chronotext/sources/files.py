@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from chronotext.operators.lineage import insert_ignore
-
 
 def whole_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``path``, ``text`` of every file below ``path`` whose name matches ``pattern``; one row a file."""
@@ -45,9 +43,18 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
 
 def append_missing(new: DataFrame, path: str, keys: Sequence[str]) -> None:
     """Append to a parquet table the rows whose keys it lacks; a repeated run adds nothing."""
-    spark = new.sparkSession
-    try:
-        held = spark.read.parquet(path)
-    except Exception:  # no table yet
-        held = new.limit(0)
-    insert_ignore(held.limit(0), new, keys).join(held.select(*keys), list(keys), "left_anti").write.mode("append").parquet(path)
+    if exists(new.sparkSession, path):
+        new = new.join(new.sparkSession.read.parquet(path).select(*keys), list(keys), "left_anti")
+    new.dropDuplicates(list(keys)).write.mode("append").parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``; what keeps that from being known is raised."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def reset_tables(empty: dict[str, DataFrame]) -> None:
+    """Replace each table (path: rows to begin with) and leave every other one, caches above all, alone."""
+    for path, rows in empty.items():
+        rows.limit(0).write.mode("overwrite").parquet(path)

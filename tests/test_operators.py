@@ -171,6 +171,8 @@ def test_grades_recall_and_comparison(spark, rows):
     assert (c.n, c.gained, c.lost, c.p) == (3, 1, 0, 1.0)
     states = rows(evaluate.paired(g.where("q < 3"), g.where("q > 1"), "q", ["hit_rank"]).select("q", "state"))
     assert states == [(1, "only_a"), (2, "both"), (3, "only_b")]
+    with pytest.raises(Exception, match="differ in their questions"):
+        evaluate.compare(g.where("q < 3"), g, "q", []).collect()
 
 
 def test_misses(spark):
@@ -231,7 +233,8 @@ def test_reading_answers(spark):
 
 def test_signals(spark):
     refs, dist = F.array(F.lit("core@1.2:100"), F.lit("core@1.1:100")), F.array(F.lit(0.2), F.lit(0.5))
-    r = one(spark, *answers.signals(F.lit("core@1.2:100 says so"), F.lit(9), F.lit(True), refs, dist)).asDict()
+    r = one(spark, *answers.signals(F.lit("core@1.2:100 says so"), F.lit(9), refs, refs, dist, lambda edition: edition == "core@1.2")).asDict()
+    assert tuple(r) == answers.SIGNALS and r["top_in_effect"] == 1.0
     assert r["margin"] == pytest.approx(0.3) and r["log_answer_tokens"] == pytest.approx(math.log(10))
     assert [r[k] for k in ("top_distance", "versions_disagree", "cites_any", "cites_only_retrieved", "cites_only_in_effect", "abstains")] == [0.2, 1.0, 1.0, 1.0, 1.0, 0.0]
 
