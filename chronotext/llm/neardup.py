@@ -144,12 +144,11 @@ def text_classes(texts: DataFrame, *, row_id: Column, text: Column, min_words: i
 
 
 def _heads(classes: DataFrame, threshold: float) -> DataFrame:
-    """``cid``, ``n``, ``band``, ``heads``: the rarest sequences of each class that another class has too, rarest first.
+    """``cid``, ``n``, ``common``, ``prefix``: the rarest sequences of each class that another class has too, rarest first, as frequency and sequence in one number.
 
-    Each is (``t``: frequency and sequence in one number; ``left``: how many of the class's sequences stand from there on; ``indexed``). Of two
-    sets with similarity t the larger shares one of its first n - ceil(t n) + 1 sequences with the first n - ceil(2 t / (1 + t) n) + 1 of
-    the smaller (those are ``indexed``), in any order common to all; rarest first keeps tiles small. Sequences of one class alone
-    take up their place but need no posting.
+    Of two sets with similarity t the larger shares one of its first n - ceil(t n) + 1 sequences with the first n - ceil(2 t / (1 + t) n) + 1 of
+    the smaller, in any order common to all; rarest first keeps tiles small. Sequences of one class alone take up their place but need
+    no posting: ``common`` says how many are not of that kind.
     """
     grams = classes.select("cid", F.explode("grams").alias("g"))
     common = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -157,12 +156,13 @@ def _heads(classes: DataFrame, threshold: float) -> DataFrame:
     # Each sequence stands in ``common`` once: no more of it in a task than its share, so no side need be sorted.
     ranked = grams.join(common.hint("shuffle_hash"), "g").groupBy("cid").agg(F.sort_array(F.collect_list(mark)).alias("t"))
     ranked = ranked.join(classes.select("cid", "n"), "cid")
-    first = lambda share: (F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1).cast("int")
-    alone = F.col("n") - F.size("t")
-    taken = F.slice("t", 1, F.greatest(F.lit(0), first(threshold) - alone))
-    heads = F.transform(taken, lambda t, i: F.struct(t.alias("t"), (F.size("t") - i).alias("left"), (alone + i < first(2 * threshold / (1 + threshold))).alias("indexed")))
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
-    return ranked.select("cid", "n", band.alias("band"), heads.alias("heads")).where("size(heads) > 0")
+    prefix = F.slice("t", 1, F.greatest(F.lit(0), _first(threshold) - F.col("n") + F.size("t")))
+    return ranked.select("cid", "n", F.size("t").alias("common"), prefix.alias("prefix")).where("size(prefix) > 0")
+
+
+def _first(share: float) -> Column:
+    """How many sequences of a class must be looked at, so that one is met that a set sharing ``share`` of them has too."""
+    return (F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1).cast("int")
 
 
 def _bits_only_in(one: str, other: str) -> Column:
@@ -174,7 +174,11 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     A tile that is hot on both sides is cut into a grid (``grid_join``).
     """
-    postings = materialize(_heads(classes, threshold)).select("cid", "n", "band", F.inline("heads"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
+    heads = materialize(_heads(classes, threshold)).select("cid", "n", "common", band.alias("band"), F.posexplode("prefix").alias("i", "t"))
+    indexed = F.col("n") - F.col("common") + F.col("i") < _first(2 * threshold / (1 + threshold))
+    # ``left``: how many of the class's sequences stand from there on.
+    postings = heads.select("cid", "n", "band", "t", (F.col("common") - F.col("i")).alias("left"), indexed.alias("indexed"))
     # The larger class of a pair is at home in the tile of its band; the smaller stands there too or visits from the band below:
     # sizes that can be similar differ by one band at most.
     home = postings.select("t", F.col("band").alias("tile"), F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("left").alias("lx"))
