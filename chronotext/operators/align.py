@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronotext.functions.text import jaccard, number_key, shingles, words
+from chronotext.functions.text import number_key, shingles, words
+from chronotext.operators.snapshots import ordinals, similar_texts
 from chronotext.session import materialize
 
 THRESHOLD = 0.5
@@ -62,15 +63,16 @@ def word_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([diff(x, y) for x, y in zip(a, b)])
 
 
-def _paired_copies(old: DataFrame, new: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One-to-one pairs of equal texts: at the same number first, then in the order of their numbers."""
-    same = old.join(new.withColumnRenamed("number", "new_number"), [*by, "text"]).where("number = new_number").select(*by, "text", "number", "new_number")
-    same = materialize(same)
-    k = F.row_number().over(Window.partitionBy(*by, "text").orderBy(number_key(F.col("number")), "number"))
-    left = old.join(same.select(*by, "text", "number"), [*by, "text", "number"], "left_anti").withColumn("k", k)
-    right = new.join(same.select(*by, "text", F.col("new_number").alias("number")), [*by, "text", "number"], "left_anti").withColumn("k", k)
-    rest = left.join(right.withColumnRenamed("number", "new_number"), [*by, "text", "k"]).select(*by, "text", "number", "new_number")
-    return same.unionByName(rest)
+def _paired_copies(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, ``hash``, ``old_number``, ``new_number``: one-to-one pairs of equal texts, at the same number first, then in the order of their numbers."""
+    key = [*by, "hash"]
+    sides = rows.groupBy(*key, "number").agg(F.max("old").alias("in_old"), F.max(~F.col("old")).alias("in_new"))
+    sides = materialize(sides)
+    same = sides.where("in_old AND in_new").select(*key, F.col("number").alias("old_number"), F.col("number").alias("new_number"))
+    single = sides.where("NOT (in_old AND in_new)").select(*key, "number", F.col("in_old").alias("old"))
+    placed = ordinals(single, [*key, "old"])
+    both = placed.groupBy(*key, "k").agg(F.max(F.when(F.col("old"), F.col("number"))).alias("old_number"), F.max(F.when(~F.col("old"), F.col("number"))).alias("new_number"))
+    return same.unionByName(both.where("old_number IS NOT NULL AND new_number IS NOT NULL").drop("k"))
 
 
 def align(old: DataFrame, new: DataFrame, by: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
@@ -78,39 +80,47 @@ def align(old: DataFrame, new: DataFrame, by: Sequence[str], threshold: float =
 
     ``old`` and ``new`` have ``by``, number and text. Equal texts pair one to one. Each other old text takes the most similar
     new one if they share at least ``threshold`` of their three-word sequences (so two may take the same), ties going to the
-    first in number order; else it has none and similarity 0. Rows with a null number or text are left out and repeated rows count
-    once. The scalable form: no version is gathered in one task; texts meet only through their rarer shared sequences.
+    first in number order; else it has none and similarity 0. Rows with a null in ``by``, number or text are left out and repeated rows count
+    once. Rows are matched by numbers and hashes of texts (16 bytes); sequences are made of each text once, and the texts themselves join
+    at the end. No version is gathered in one task; texts meet only through their rarer shared sequences.
     """
     by = list(by)
-    old = old.select(*by, "number", "text").where("number IS NOT NULL AND text IS NOT NULL").distinct()
-    new = new.select(*by, "number", "text").where("number IS NOT NULL AND text IS NOT NULL").distinct()
-    exact = materialize(_paired_copies(old, new, by))
-    left = old.join(exact.select(*by, "number", "text"), [*by, "number", "text"], "left_anti").withColumn("side", F.lit("old"))
-    everything = left.unionByName(new.withColumn("side", F.lit("new")))
-    tokens = materialize(everything.withColumn("w", words(F.col("text"))))
-    grams = materialize(tokens.select(*by, "side", "number", "text", shingles(F.col("w")).alias("grams")))
-    rows = grams.select(*by, "side", "number", "text", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    frequency = rows.groupBy(*by, "g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = rows.join(frequency, [*by, "g"]).groupBy(*by, "side", "number", "text", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("x"))
-    keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).cast("int")
-    heads = ranked.select(*by, "side", "number", "text", F.explode(F.slice("x", 1, keep)).alias("x")).select(*by, "side", "number", "text", "x.g")
-    a = heads.where("side = 'old'").select(*by, "g", F.col("number").alias("old_number"), F.col("text").alias("old_text"))
-    b = heads.where("side = 'new'").select(*by, "g", F.col("number").alias("new_number"), F.col("text").alias("new_text"))
-    met = a.join(b, [*by, "g"]).drop("g").distinct()
-    of = lambda side: grams.where(F.col("side") == side).select(*by, F.col("number").alias(f"{side}_number"), F.col("text").alias(f"{side}_text"), F.col("grams").alias(f"{side}_grams"))
-    scored = met.join(of("old"), [*by, "old_number", "old_text"]).join(of("new"), [*by, "new_number", "new_text"])
-    scored = scored.withColumn("similarity", jaccard(F.col("old_grams"), F.col("new_grams"))).where(F.col("similarity") >= threshold)
-    best = scored.groupBy(*by, "old_number", "old_text").agg(
-        F.min(F.struct((-F.col("similarity")).alias("less"), number_key(F.col("new_number")).alias("key"), "new_number", "new_text")).alias("m")
-    ).select(*by, "old_number", "old_text", "m.new_number", "m.new_text", (-F.col("m.less")).alias("similarity"))
-    left = left.select(*by, F.col("number").alias("old_number"), F.col("text").alias("old_text"))
-    similar = left.join(best, [*by, "old_number", "old_text"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    equal = exact.select(*by, F.col("number").alias("old_number"), F.col("text").alias("old_text"), "new_number", F.col("text").alias("new_text"), F.lit(1.0).alias("similarity"))
-    matched = materialize(equal.unionByName(similar.select(*equal.columns)))
-    used = matched.where("new_number IS NOT NULL").select(*by, F.col("new_number").alias("number"), F.col("new_text").alias("text")).distinct()
-    added = new.join(used, [*by, "number", "text"], "left_anti")
-    nothing = F.lit(None).cast("string")
-    return matched.unionByName(added.select(*by, nothing.alias("old_number"), nothing.alias("old_text"), F.col("number").alias("new_number"), F.col("text").alias("new_text"), F.lit(0.0).alias("similarity")))
+    known = " AND ".join(f"{c} IS NOT NULL" for c in (*by, "number", "text"))
+    hashed = lambda rows, side: rows.select(*by, "number", "text").where(known).withColumn("hash", F.unhex(F.md5("text"))).withColumn("old", F.lit(side))
+    full = hashed(old, True).unionByName(hashed(new, False))
+    rows = materialize(full.select(*by, "number", "hash", "old").distinct())
+    exact = materialize(_paired_copies(rows, by))
+    left = rows.where("old").select(*by, "number", "hash").join(exact.select(*by, F.col("old_number").alias("number"), "hash"), [*by, "number", "hash"], "left_anti")
+    left = materialize(left)
+    # Only editions in which something is left need their sequences.
+    asked = left.select(*by, "hash").withColumn("old", F.lit(True)).unionByName(rows.where("NOT old").select(*by, "hash", "old").join(left.select(*by).distinct(), by, "left_semi")).distinct()
+    asked = materialize(asked)
+    texts = materialize(full.select("hash", "text").join(asked.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.any_value("text").alias("text")).select("hash", words(F.col("text")).alias("w")))
+    made = materialize(asked.join(texts.select("hash", shingles(F.col("w")).alias("grams")), "hash"))
+    edges = similar_texts(made, by, threshold)
+    first = rows.where("NOT old").groupBy(*by, F.col("hash").alias("new_hash")).agg(F.min(F.struct(number_key(F.col("number")).alias("key"), "number")).alias("at"))
+    nearest = F.min(F.struct((-F.col("sim")).alias("less"), F.col("at.key").alias("key"), F.col("at.number").alias("new_number"), "new_hash"))
+    best = edges.join(first, [*by, "new_hash"]).groupBy(*by, F.col("old_hash").alias("hash")).agg(nearest.alias("m"))
+    similar = left.join(best, [*by, "hash"], "left").select(
+        *by, F.col("number").alias("old_number"), F.col("hash").alias("old_hash"), "m.new_number", "m.new_hash", F.coalesce(-F.col("m.less"), F.lit(0.0)).alias("similarity")
+    )
+    equal = exact.select(*by, "old_number", F.col("hash").alias("old_hash"), "new_number", F.col("hash").alias("new_hash"), F.lit(1.0).alias("similarity"))
+    matched = materialize(equal.unionByName(similar))
+    used = matched.where("new_number IS NOT NULL").select(*by, F.col("new_number").alias("number"), F.col("new_hash").alias("hash")).distinct()
+    added = rows.where("NOT old").select(*by, "number", "hash").join(used, [*by, "number", "hash"], "left_anti")
+    nothing, no_hash = F.lit(None).cast("string"), F.lit(None).cast("binary")
+    added = added.select(*by, nothing.alias("old_number"), no_hash.alias("old_hash"), F.col("number").alias("new_number"), F.col("hash").alias("new_hash"), F.lit(0.0).alias("similarity"))
+    everything = matched.unionByName(added)
+    # The texts, once for each place and hash.
+    said = lambda side, name: full.where(F.col("old") if side else ~F.col("old")).groupBy(*by, F.col("number").alias(f"{name}_number"), F.col("hash").alias(f"{name}_hash")).agg(F.any_value("text").alias(f"{name}_text"))
+    told = everything.join(said(True, "old"), [*by, "old_number", "old_hash"], "left").join(said(False, "new"), [*by, "new_number", "new_hash"], "left")
+    return told.select(*by, "old_number", "old_text", "new_number", "new_text", "similarity")
+
+
+def top_changes(changes: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """The ``n`` changed rules of each ``by`` whose wording most likely turns the meaning: most ``flips`` first, then the least similar, then by number; with their ``rank``."""
+    order = Window.partitionBy(*by).orderBy(F.desc("flips"), "similarity", number_key(F.col("old_number")), "old_number")
+    return changes.where("status = 'changed'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def what_changed(matches: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -131,8 +141,6 @@ def impact(references: DataFrame, changes: DataFrame, by: Sequence[str], key: st
     return references.join(status, [*by, "number"], "left").select(*by, key, "number", F.coalesce("status", F.lit("missing")).alias("status"))
 
 
-
-
 def rule_history(changes: DataFrame, by: str, edition: str) -> DataFrame:
     """``by``, ``number``, ``status`` of each rule of the latest edition: new (nothing in the edition before matches), stable or changed.
 

@@ -39,14 +39,13 @@ def _current(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, side
 
 
-def _ordinals(sides: DataFrame) -> DataFrame:
-    """``k``: the place of a row among those of its (doc, snap, hash, side), by number.
+def ordinals(rows: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` (``group``, number, ...) with ``k``: the place of a row among those of its ``group``, by number.
 
     The rank is taken in two steps, inside the first component of the number and then over the components' counts, so
     that no task sorts all copies of one text.
     """
-    group = ["doc", "snap", "hash", "old"]
-    rows = sides.withColumn("sort", number_key(F.col("number"))).withColumn("part", F.substring_index("sort", ".", 1))
+    rows = rows.withColumn("sort", number_key(F.col("number"))).withColumn("part", F.substring_index("sort", ".", 1))
     inside = rows.withColumn("k", F.row_number().over(Window.partitionBy(*group, "part").orderBy("sort", "number")))
     counts = rows.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -54,26 +53,28 @@ def _ordinals(sides: DataFrame) -> DataFrame:
     return inside.join(offsets, [*group, "part"]).withColumn("k", F.col("k") + F.col("before")).drop("sort", "part", "before")
 
 
-def similar_texts(texts: DataFrame, threshold: float) -> DataFrame:
-    """``doc``, ``snap``, ``old_hash``, ``new_hash``, ``sim`` of every old and new text of a comparison with ``sim`` >= threshold.
+def similar_texts(texts: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """``by``, ``old_hash``, ``new_hash``, ``sim`` of every old and new text of a comparison with ``sim`` >= threshold.
 
-    ``texts`` has doc, snap, old (boolean), hash and ``grams`` (distinct hashed word sequences). Only texts that share
+    ``texts`` has ``by``, old (boolean), hash and ``grams`` (distinct hashed word sequences), a text once. Only texts that share
     one of their rarest sequences are compared (the prefix filter: of n sequences, n - ceil(t n) + 1 suffice), and the
-    candidates are then counted exactly.
+    candidates are then counted exactly. Hashes and sequences move; texts don't.
     """
-    key = ["doc", "snap", "old", "hash"]
+    key = [*by, "old", "hash"]
     grams = texts.select(*key, F.explode("grams").alias("g"))
-    frequency = grams.groupBy("doc", "snap", "g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = grams.join(frequency, ["doc", "snap", "g"]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("by_df"))
+    # What stands on one side only takes up its place but leads nowhere.
+    sides = grams.groupBy(*by, "g").agg(F.count(F.lit(1)).alias("df"), (F.max("old") & ~F.min("old")).alias("both"))
+    mark = F.struct("df", "g", "both")
+    ranked = grams.join(sides, [*by, "g"]).groupBy(*key).agg(F.sort_array(F.collect_list(mark)).alias("by_df"))
     keep = F.size("by_df") - F.ceil(F.size("by_df") * F.lit(threshold)) + 1
-    heads = ranked.select(*key, F.explode(F.slice("by_df", 1, keep.cast("int"))).alias("x")).select(*key, "x.g")
-    old = heads.where("old").select("doc", "snap", "g", F.col("hash").alias("old_hash"))
-    new = heads.where("NOT old").select("doc", "snap", "g", F.col("hash").alias("new_hash"))
-    candidates = old.join(new, ["doc", "snap", "g"]).select("doc", "snap", "old_hash", "new_hash").distinct()
-    a = texts.where("old").select("doc", "snap", F.col("hash").alias("old_hash"), F.col("grams").alias("ga"))
-    b = texts.where("NOT old").select("doc", "snap", F.col("hash").alias("new_hash"), F.col("grams").alias("gb"))
-    both = candidates.join(a, ["doc", "snap", "old_hash"]).join(b, ["doc", "snap", "new_hash"])
-    return both.select("doc", "snap", "old_hash", "new_hash", jaccard(F.col("ga"), F.col("gb")).alias("sim")).where(F.col("sim") >= threshold)
+    heads = ranked.select(*key, F.explode(F.slice("by_df", 1, keep.cast("int"))).alias("x")).where("x.both").select(*key, "x.g")
+    old = heads.where("old").select(*by, "g", F.col("hash").alias("old_hash"))
+    new = heads.where("NOT old").select(*by, "g", F.col("hash").alias("new_hash"))
+    candidates = old.join(new, [*by, "g"]).select(*by, "old_hash", "new_hash").distinct()
+    a = texts.where("old").select(*by, F.col("hash").alias("old_hash"), F.col("grams").alias("ga"))
+    b = texts.where("NOT old").select(*by, F.col("hash").alias("new_hash"), F.col("grams").alias("gb"))
+    both = candidates.join(a, [*by, "old_hash"]).join(b, [*by, "new_hash"])
+    return both.select(*by, "old_hash", "new_hash", jaccard(F.col("ga"), F.col("gb")).alias("sim")).where(F.col("sim") >= threshold)
 
 
 def greedy_pairs(edges: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def snapshot_changes(
     # A document's first snapshot has nothing before it.
     later = snaps.where("next IS NOT NULL").select("doc", F.col("next").alias("snap"))
     unpaired = differs.where("old <> new").drop("new").join(later, ["doc", "snap"], "left_semi")
-    placed = _ordinals(unpaired)
+    placed = ordinals(unpaired, ["doc", "snap", "hash", "old"])
     by_text = placed.groupBy("doc", "snap", "hash", "k").agg(
         F.max(F.when(F.col("old"), F.col("number"))).alias("old_number"), F.max(F.when(~F.col("old"), F.col("number"))).alias("new_number"), F.max("own").alias("own")
     )
@@ -167,7 +168,7 @@ def snapshot_changes(
     source = source.where(row_hash(F.col("text")) == F.col("wanted")).groupBy(F.col("wanted").alias("hash")).agg(F.min(canonical(F.col("text"))).alias("text"))
     grams = materialize(source.select("hash", words(F.col("text")).alias("w"))).select("hash", shingles(F.col("w")).alias("grams"))
     texts = materialize(classes.select("doc", "snap", "old", "hash").join(grams, "hash"))
-    edges = similar_texts(texts, threshold)
+    edges = similar_texts(texts, ["doc", "snap"], threshold)
     n_old = classes.where("old").select("doc", "snap", F.col("hash").alias("old_hash"), F.col("n").alias("n_old"))
     n_new = classes.where("NOT old").select("doc", "snap", F.col("hash").alias("new_hash"), F.col("n").alias("n_new"))
     pairs = greedy_pairs(edges.join(n_old, ["doc", "snap", "old_hash"]).join(n_new, ["doc", "snap", "new_hash"]))

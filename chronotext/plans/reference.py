@@ -2,46 +2,18 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronotext.functions.text import reference, words
-from chronotext.operators import align, answers, evaluate, lineage, retrieval, stats, temporal
+from chronotext.functions.text import reference
+from chronotext.operators import align, answers, evaluate, lineage, stats, temporal
 from chronotext.plans.core import P4_SQL, p4_found
+from chronotext.plans.registry import AS_OF, MODEL, P_SQL, PREFIX, REF_SQL, Register, c, passages, table, wilson_sql
 from chronotext.sources import parse
 from chronotext.streaming import updates
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-c = F.col
-AS_OF = "2025-06-01"
-MODEL, PREFIX = "sha256:6c1f0a9be2", "search_document: "
-REF_SQL = r"lower(regexp_replace(source_ref, '^\s+|[\s.]+$', '', 'g'))"
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "passages").dropDuplicates(["passage_id"])
-    return rows.withColumn("ref", reference(c("source_ref"))).withColumn("doc", F.substring_index("ref", "@", 1)).withColumn("version", F.regexp_extract("ref", "@([0-9.]+):", 1))
-
-
-P_SQL = f"p AS (SELECT DISTINCT ON (passage_id) *, {REF_SQL} AS ref, split_part({REF_SQL}, '@', 1) AS doc, regexp_extract({REF_SQL}, '@([0-9.]+):', 1) AS version FROM passages)"
+query = Register()
+QUERIES, SQL = query.queries, query.sql
 
 # --- time -----------------------------------------------------------------------------------------------------------------
 
@@ -49,13 +21,13 @@ P_SQL = f"p AS (SELECT DISTINCT ON (passage_id) *, {REF_SQL} AS ref, split_part(
 @query(f"WITH {P_SQL} SELECT passage_id, published_at, lead(published_at) OVER w AS valid_until, coalesce(lead(true) OVER w, false) AS newer_exists FROM p WINDOW w AS (PARTITION BY ref ORDER BY published_at, passage_id)")
 def version_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each passage was restated, and whether it was."""
-    return temporal.windows_by_successor(_passages(spark, sf_dir), ["ref"], "published_at", "passage_id").select("passage_id", "published_at", "valid_until", "newer_exists")
+    return temporal.windows_by_successor(passages(spark, sf_dir), ["ref"], "published_at", "passage_id").select("passage_id", "published_at", "valid_until", "newer_exists")
 
 
 @query(f"WITH {P_SQL} SELECT passage_id, valid_from, valid_to FROM p WHERE valid_from <= DATE '{AS_OF}' AND (valid_to IS NULL OR DATE '{AS_OF}' < valid_to)")
 def asof_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages in force on a day."""
-    return _passages(spark, sf_dir).where(temporal.in_force(F.lit(AS_OF).cast("date"), c("valid_from"), c("valid_to"))).select("passage_id", "valid_from", "valid_to")
+    return passages(spark, sf_dir).where(temporal.in_force(F.lit(AS_OF).cast("date"), c("valid_from"), c("valid_to"))).select("passage_id", "valid_from", "valid_to")
 
 
 @query(f"""
@@ -67,7 +39,7 @@ r AS (SELECT *, CASE WHEN e IS NULL THEN 'effective date unknown' WHEN e < d THE
 SELECT doc, version, CASE WHEN refused IS NULL THEN e END AS valid_from, CASE WHEN refused IS NULL THEN nx END AS valid_to, refused FROM r""")
 def refused_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document version's window, or why it has none."""
-    versions = _passages(spark, sf_dir).groupBy("doc", "version").agg(F.min("valid_from").alias("effective"), F.min("published_at").alias("printed"))
+    versions = passages(spark, sf_dir).groupBy("doc", "version").agg(F.min("valid_from").alias("effective"), F.min("published_at").alias("printed"))
     return temporal.validity_windows(versions, ["doc"], "version", "effective", "printed")
 
 
@@ -78,7 +50,7 @@ SELECT r.doc, r.version FROM r LEFT JOIN k USING (doc) WHERE newest IS NULL OR l
 def pending_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Editions of the rules newer than any of their document's passages."""
     registered = table(spark, sf_dir, "rules").select(F.substring_index("document_id", "@", 1).alias("doc"), F.substring_index("document_id", "@", -1).alias("version"))
-    return temporal.pending(registered, _passages(spark, sf_dir), ["doc"], "version")
+    return temporal.pending(registered, passages(spark, sf_dir), ["doc"], "version")
 
 
 @query(f"""
@@ -88,234 +60,11 @@ FROM found JOIN k USING (candidate_id) JOIN p USING (passage_id)""")
 def drift_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether what was known on a candidate's day is what its author later called stale."""
     noted = table(spark, sf_dir, "candidates").dropDuplicates(["candidate_id"]).select("candidate_id", "current_refs", "stale_refs")
-    rows = p4_found(spark, sf_dir).join(noted, "candidate_id").join(_passages(spark, sf_dir).select("passage_id", "ref"), "passage_id")
+    rows = p4_found(spark, sf_dir).join(noted, "candidate_id").join(passages(spark, sf_dir).select("passage_id", "ref"), "passage_id")
     verdict = F.when(F.array_contains("stale_refs", c("ref")), "captured").when(F.array_contains("current_refs", c("ref")), "not captured").otherwise("inconclusive")
     return rows.select("candidate_id", verdict.alias("verdict"))
 
 
-# --- retrieval and its evaluation ------------------------------------------------------------------------------------------
-
-
-def _vectors(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, dims).alias("embedding"))
-
-
-def _ranked(spark: SparkSession, sf_dir: str, k: int, dims: int = 64) -> DataFrame:
-    """The nearest other vectors of every vector whose id is divisible by 20."""
-    rows = _vectors(spark, sf_dir, dims)
-    found = retrieval.cosine_top(rows, rows.where("vec_id % 20 = 0").select(c("vec_id").alias("q"), "embedding"), chunk_id="vec_id", query_id="q", vector="embedding", k=k + 1)
-    return retrieval.top(found.where("vec_id <> q").drop("rank"), ["q"], [F.round("distance", 9), c("vec_id")], k).select("q", "vec_id", "distance", "rank")
-
-
-def _ranked_sql(k: int, dims: int, name: str) -> str:
-    return f"""{name} AS (SELECT * FROM (SELECT q, vec_id, distance, row_number() OVER (PARTITION BY q ORDER BY round(distance, 9), vec_id) AS rank FROM (
-  SELECT a.vec_id AS q, b.vec_id, 1 - list_cosine_similarity(CAST(a.embedding[1:{dims}] AS DOUBLE[]), CAST(b.embedding[1:{dims}] AS DOUBLE[])) AS distance
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rank <= {k})"""
-
-
-@query(f"WITH {_ranked_sql(5, 64, 'r')} SELECT q, vec_id, rank, round(distance, 6) AS distance FROM r")
-def vector_topk_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact nearest vectors."""
-    return _ranked(spark, sf_dir, 5).select("q", "vec_id", "rank", F.round("distance", 6).alias("distance"))
-
-
-@query(f"""
-WITH {P_SQL}, e AS (SELECT DISTINCT ON (content_hash) content_hash, embedding FROM embedding_cache WHERE model_digest = '{MODEL}' AND prefix = '{PREFIX}' AND len(embedding) = 64
-  AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
-v AS (SELECT passage_id, valid_from, valid_to, CAST(embedding AS DOUBLE[]) AS x FROM p JOIN e USING (content_hash)),
-s AS (SELECT a.passage_id AS q, b.passage_id, 1 - list_cosine_similarity(a.x, b.x) AS d FROM v a, v b
-  WHERE a.passage_id % 20 = 0 AND b.valid_from <= DATE '{AS_OF}' AND (b.valid_to IS NULL OR DATE '{AS_OF}' < b.valid_to))
-SELECT * FROM (SELECT q, passage_id, row_number() OVER (PARTITION BY q ORDER BY round(d, 9), passage_id) AS rank FROM s) WHERE rank <= 5""")
-def vector_topk_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest passages in force on a day: filtered first, then ranked."""
-    keep = (c("model_digest") == MODEL) & (c("prefix") == PREFIX)
-    cache = table(spark, sf_dir, "embedding_cache").where(keep).where(
-        "size(embedding) = 64 AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = float('inf')) AND exists(embedding, x -> x <> 0)"
-    ).dropDuplicates(["content_hash"]).select("content_hash", "embedding")
-    held = _passages(spark, sf_dir).join(cache, "content_hash")
-    asked = held.where("passage_id % 20 = 0").select(c("passage_id").alias("q"), "embedding")
-    valid = held.where(temporal.in_force(F.lit(AS_OF).cast("date"), c("valid_from"), c("valid_to")))
-    found = retrieval.cosine_top(valid, asked, chunk_id="passage_id", query_id="q", vector="embedding", k=10)
-    return retrieval.top(found.drop("rank"), ["q"], [F.round("distance", 9), c("passage_id")], 5).select("q", "passage_id", "rank")
-
-
-_STOP = ", ".join(f"'{w}'" for w in retrieval.STOPWORDS)
-_WORDS_SQL = "regexp_extract_all(lower(replace(replace(text, '‘', ''''), '’', '''')), '[a-z0-9'']+')"
-
-
-@query(f"""
-WITH d AS (SELECT DISTINCT doc_id, text, {_WORDS_SQL} AS w FROM documents), q AS (SELECT DISTINCT item_id, unnest({_WORDS_SQL}) AS term FROM eval_items WHERE item_id % 20 = 0),
-t AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d), m AS (SELECT item_id, doc_id, n, count(*) AS hits FROM t JOIN q USING (term) WHERE term NOT IN ({_STOP}) GROUP BY ALL)
-SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, hits / (1 + ln(n)) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(hits / (1 + ln(n)), 9) DESC, doc_id) AS rank FROM m) WHERE rank <= 10""")
-def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share the most words with an item."""
-    asked = table(spark, sf_dir, "eval_items").where("item_id % 20 = 0").select("item_id", "text")
-    found = retrieval.word_top(table(spark, sf_dir, "documents").select("doc_id", "text"), asked, doc_id="doc_id", query_id="item_id", text="text", k=10)
-    return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
-
-
-_IN_FORCE = f"valid_from <= DATE '{AS_OF}' AND (valid_to IS NULL OR DATE '{AS_OF}' < valid_to)"
-_ASOF_LISTS = f"""{P_SQL}, e AS (SELECT DISTINCT ON (content_hash) content_hash, embedding FROM embedding_cache WHERE model_digest = '{MODEL}' AND prefix = '{PREFIX}' AND len(embedding) = 64
-  AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
-x AS (SELECT passage_id, valid_from, valid_to, CAST(embedding AS DOUBLE[]) AS x FROM p JOIN e USING (content_hash)),
-y AS (SELECT a.passage_id AS q, b.passage_id, 1 - list_cosine_similarity(a.x, b.x) AS d FROM x a, x b WHERE a.passage_id % 20 = 0 AND {_IN_FORCE.replace("valid_", "b.valid_")}),
-a AS (SELECT q, passage_id, row_number() OVER (PARTITION BY q ORDER BY round(d, 9), passage_id) AS rank FROM y),
-w AS (SELECT passage_id, valid_from, valid_to, {_WORDS_SQL} AS w FROM p), q AS (SELECT DISTINCT passage_id AS q, unnest(w) AS term FROM w WHERE passage_id % 20 = 0),
-t AS (SELECT passage_id, len(w) AS n, unnest(w) AS term FROM w WHERE {_IN_FORCE}), m AS (SELECT q, passage_id, n, count(*) AS hits FROM t JOIN q USING (term) WHERE term NOT IN ({_STOP}) GROUP BY ALL),
-b AS (SELECT q, passage_id, row_number() OVER (PARTITION BY q ORDER BY round(hits / (1 + ln(n)), 9) DESC, passage_id) AS rank FROM m)"""
-
-
-def _retrieved(spark: SparkSession, sf_dir: str, method: str, k: int) -> DataFrame:
-    """A method over the passages in force on a day; every passage whose id is divisible by 20 is asked."""
-    keep = (c("model_digest") == MODEL) & (c("prefix") == PREFIX)
-    cache = table(spark, sf_dir, "embedding_cache").where(keep).where(
-        "size(embedding) = 64 AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = float('inf')) AND exists(embedding, x -> x <> 0)"
-    ).dropDuplicates(["content_hash"]).select("content_hash", "embedding")
-    rows = _passages(spark, sf_dir)
-    in_force = temporal.in_force(F.lit(AS_OF).cast("date"), c("valid_from"), c("valid_to"))
-    held = rows.join(cache, "content_hash").select("passage_id", "valid_from", "valid_to", "embedding")
-
-    def vector(as_of: bool, depth: int) -> DataFrame:
-        asked = held.where("passage_id % 20 = 0").select(c("passage_id").alias("q"), "embedding")
-        found = retrieval.cosine_top(held.where(in_force) if as_of else held, asked, chunk_id="passage_id", query_id="q", vector="embedding", k=depth + 10)
-        return retrieval.top(found.drop("rank"), ["q"], [F.round("distance", 9), c("passage_id")], depth)
-
-    def lexical(depth: int) -> DataFrame:
-        asked = rows.where("passage_id % 20 = 0").select(c("passage_id").alias("q"), "text")
-        return retrieval.word_top(rows.where(in_force).select("passage_id", "text"), asked, doc_id="passage_id", query_id="q", text="text", k=depth)
-
-    def add(pooled: DataFrame) -> DataFrame:
-        told = rows.select("passage_id", F.array_distinct(words(c("text"))).alias("w"))
-        return pooled.join(told, "passage_id").join(told.select(c("passage_id").alias("q"), c("w").alias("v")), "q")
-
-    shared = F.coalesce(F.size(F.array_intersect("w", "v")) / F.nullif(F.size(F.array_union("w", "v")), F.lit(0)), F.lit(0.0))
-    return retrieval.retrieve(method, vector, lexical, F.round(shared, 9), "q", "passage_id", k, add)
-
-
-@query(f"""
-WITH {_ASOF_LISTS}, u AS (SELECT *, 0 AS l FROM a WHERE rank <= 50 UNION ALL SELECT *, 1 FROM b WHERE rank <= 50),
-s AS (SELECT q, passage_id, sum(1 / (60 + rank)) AS score, min((l, rank)) AS f FROM u GROUP BY ALL)
-SELECT q, passage_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, f, passage_id) AS rank FROM s) WHERE rank <= 10""")
-def asof_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector and word search of the passages in force, fused."""
-    return _retrieved(spark, sf_dir, "hybrid", 10).select("q", "passage_id", F.round("score", 9).alias("score"), "rank")
-
-
-@query(f"""
-WITH {_ASOF_LISTS}, u AS (SELECT *, 0 AS l FROM a WHERE rank <= 20 UNION ALL SELECT *, 1 FROM b WHERE rank <= 20),
-s AS (SELECT q, passage_id, min((l, rank)) AS f FROM u GROUP BY ALL), d AS (SELECT passage_id, list_distinct(w) AS w FROM w),
-j AS (SELECT s.*, round(coalesce(len(list_intersect(x.w, y.w)) / nullif(len(list_distinct(list_concat(x.w, y.w))), 0), 0), 9) AS score FROM s JOIN d x USING (passage_id) JOIN d y ON y.passage_id = q)
-SELECT q, passage_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, f, passage_id) AS rank FROM j) WHERE rank <= 5""")
-def asof_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pool of both searches by the share of words in common, in place of a model's score."""
-    return _retrieved(spark, sf_dir, "rerank", 5).select("q", "passage_id", "rank")
-
-
-_TWO = f"{_ranked_sql(50, 64, 'a')}, {_ranked_sql(50, 32, 'b')}"
-
-
-@query(f"""
-WITH {_TWO}, u AS (SELECT q, vec_id, rank, 0 AS l FROM a UNION ALL SELECT q, vec_id, rank, 1 FROM b),
-s AS (SELECT q, vec_id, sum(1 / (60 + rank)) AS score, min((l, rank)) AS f FROM u GROUP BY ALL)
-SELECT q, vec_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, f, vec_id) AS rank FROM s) WHERE rank <= 10""")
-def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rankings fused by reciprocal ranks."""
-    fused = retrieval.fuse([_ranked(spark, sf_dir, 50), _ranked(spark, sf_dir, 50, 32)], "q", "vec_id", 10)
-    return fused.select("q", "vec_id", F.round("score", 9).alias("score"), "rank")
-
-
-_POOL = "u AS (SELECT q, vec_id, rank, 0 AS l FROM a WHERE rank <= 20 UNION ALL SELECT q, vec_id, rank, 1 FROM b WHERE rank <= 20), o AS (SELECT q, vec_id, row_number() OVER (PARTITION BY q ORDER BY min((l, rank)), vec_id) AS place FROM u GROUP BY q, vec_id)"
-
-
-@query(f"WITH {_TWO}, {_POOL} SELECT * FROM o")
-def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of two rankings, each once."""
-    return retrieval.pool([_ranked(spark, sf_dir, 20), _ranked(spark, sf_dir, 20, 32)], "q", "vec_id")
-
-
-@query(f"""
-WITH {_TWO}, {_POOL} SELECT q, vec_id, rank FROM (SELECT o.q, o.vec_id, row_number() OVER (PARTITION BY o.q ORDER BY CASE WHEN x.label = y.label THEN 1 ELSE 0 END DESC, place) AS rank
-FROM o JOIN embeddings x ON o.q = x.vec_id JOIN embeddings y ON o.vec_id = y.vec_id) WHERE rank <= 5""")
-def rerank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pool by a second score, ties in the pool's order."""
-    labels = _vectors(spark, sf_dir).select("vec_id", "label")
-    pooled = candidate_pool(spark, sf_dir).join(labels, "vec_id").join(labels.select(c("vec_id").alias("q"), c("label").alias("wanted")), "q")
-    return retrieval.rerank(pooled, F.when(c("label") == c("wanted"), 1).otherwise(0), "q", "vec_id", 5).select("q", "vec_id", "rank")
-
-
-def _graded(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
-    """Hit: a vector with the label asked for; those with an odd id stand for copies that are out of force."""
-    labels = _vectors(spark, sf_dir).select("vec_id", "label")
-    rows = _ranked(spark, sf_dir, 20, dims).join(labels, "vec_id").join(labels.select(c("vec_id").alias("q"), c("label").alias("wanted")), "q")
-    same = c("label") == c("wanted")
-    return evaluate.grade(rows, ["q", "wanted"], same, same, c("vec_id") % 2 == 0)
-
-
-def _graded_sql(dims: int, name: str) -> str:
-    return f"""{_ranked_sql(20, dims, f'{name}_r')}, {name} AS (SELECT q, y.label AS wanted, min(rank) FILTER (WHERE x.label = y.label AND x.vec_id % 2 = 0) AS hit_rank,
-  min(rank) FILTER (WHERE x.label = y.label AND x.vec_id % 2 <> 0) AS outdated_rank, min(rank) FILTER (WHERE x.label = y.label) AS blind_rank
-  FROM {name}_r r JOIN embeddings x USING (vec_id) JOIN embeddings y ON r.q = y.vec_id GROUP BY ALL)"""
-
-
-_GRADED, _BOTH = f"WITH {_graded_sql(64, 'g')}", f"WITH {_graded_sql(64, 'g')}, {_graded_sql(32, 'h')}"
-
-
-@query(f"{_GRADED} SELECT * FROM g")
-def grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First ranks of hits, outdated copies and either."""
-    return _graded(spark, sf_dir)
-
-
-@query(f"{_GRADED} SELECT wanted, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE hit_rank <= {k}) AS hits_{k}, round(count(*) FILTER (WHERE hit_rank <= {k}) / count(*), 9) AS recall_{k}" for k in evaluate.KS) + " FROM g GROUP BY GROUPING SETS ((wanted), ())")
-def recall_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall at several depths, for each label and for all."""
-    rows = evaluate.recall_at(_graded(spark, sf_dir), [["wanted"], []])
-    return rows.select("wanted", "n", *[x for k in evaluate.KS for x in (f"hits_{k}", F.round(f"recall_{k}", 9).alias(f"recall_{k}"))])
-
-
-def _wilson_sql(k: str, n: str) -> str:
-    z = stats.Z95
-    half = f"{z} * sqrt(({k}/{n}) * (1 - {k}/{n}) / {n} + {z * z} / (4.0 * {n} * {n})) / (1 + {z * z} / {n})"
-    centre = f"({k}/{n} + {z * z} / (2.0 * {n})) / (1 + {z * z} / {n})"
-    return f"round(greatest(0, {centre} - {half}), 6) AS low, round(least(1, {centre} + {half}), 6) AS high"
-
-
-@query(f"{_GRADED}, s AS (SELECT wanted, count(*)::DOUBLE AS n, count(*) FILTER (WHERE outdated_rank <= 5 AND (hit_rank IS NULL OR outdated_rank < hit_rank))::DOUBLE AS k FROM g GROUP BY wanted) SELECT wanted, n::BIGINT AS n, k::BIGINT AS stale, {_wilson_sql('k', 'n')} FROM s")
-def stale_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often an outdated copy stands above the hit."""
-    rows = evaluate.stale_above(_graded(spark, sf_dir), ["wanted"])
-    return rows.select("wanted", "n", "stale", F.round("interval.low", 6).alias("low"), F.round("interval.high", 6).alias("high"))
-
-
-@query(f"""{_BOTH}, x AS (SELECT coalesce(g.hit_rank <= 5, false) AS a, coalesce(h.hit_rank <= 5, false) AS b FROM g JOIN h USING (q)),
-s AS (SELECT count(*) AS n, count(*) FILTER (WHERE b AND NOT a) AS gained, count(*) FILTER (WHERE a AND NOT b) AS lost FROM x)
-SELECT n, gained, lost, round(CASE WHEN gained + lost = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(gained, lost) + 1),
-  lambda i: exp(lgamma(gained + lost + 1) - lgamma(i + 1) - lgamma(gained + lost - i + 1) - (gained + lost) * ln(2))))) END, 9) AS p FROM s""")
-def paired_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs on the same questions: gained, lost, exact McNemar."""
-    rows = evaluate.compare(_graded(spark, sf_dir), _graded(spark, sf_dir, 32), "q", [])
-    return rows.select("n", "gained", "lost", F.round("p", 9).alias("p"))
-
-
-_MISS = "CASE WHEN hit_rank <= 5 THEN NULL WHEN hit_rank IS NOT NULL THEN 'below-cutoff' WHEN wanted % 3 = 0 THEN 'card-not-in-corpus' WHEN wanted % 3 = 1 THEN 'rule-only' ELSE 'unclassified' END"
-_KINDS = ["below-cutoff", "card-not-in-corpus", "rule-only", "unclassified"]
-
-
-@query(f"{_GRADED}, m AS (SELECT wanted, {_MISS} AS kind FROM g) SELECT wanted, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS \"{k}\"" for k in _KINDS) + ", count(*) AS total FROM m GROUP BY wanted")
-def miss_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why questions missed, by label, zeros included."""
-    category = F.when(c("wanted") % 3 == 0, "cards").when(c("wanted") % 3 == 1, "mechanics")
-    rows = _graded(spark, sf_dir).withColumn("kind", evaluate.miss_category(F.lit(True), c("hit_rank"), category))
-    return evaluate.crosstab(rows, "wanted", "kind", _KINDS)
-
-
-@query(f"{_BOTH} SELECT coalesce(g.q, h.q) AS q, CASE WHEN h.q IS NULL THEN 'only_a' WHEN g.q IS NULL THEN 'only_b' ELSE 'both' END AS state, g.hit_rank AS hit_rank_a, h.hit_rank AS hit_rank_b FROM (SELECT * FROM g WHERE hit_rank IS NOT NULL) g FULL JOIN (SELECT * FROM h WHERE blind_rank = 1) h USING (q)")
-def paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs' rows matched, with those that only one has."""
-    rows = evaluate.paired(_graded(spark, sf_dir).where("hit_rank IS NOT NULL"), _graded(spark, sf_dir, 32).where("blind_rank = 1"), "q", ["hit_rank"])
-    return rows.select("q", "state", "hit_rank_a", "hit_rank_b")
-
-
 # --- statistics --------------------------------------------------------------------------------------------------------------
 
 
@@ -337,7 +86,7 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("done", "n", *[F.round(x, 6).alias(x) for x in ("median", "p90", "max")])
 
 
-@query(f"WITH s AS (SELECT rater, count(toxic)::DOUBLE AS n, count(*) FILTER (WHERE toxic = 1)::DOUBLE AS k FROM doc_labels GROUP BY rater HAVING count(toxic) > 0) SELECT rater, n::BIGINT AS n, k::BIGINT AS k, {_wilson_sql('k', 'n')} FROM s")
+@query(f"WITH s AS (SELECT rater, count(toxic)::DOUBLE AS n, count(*) FILTER (WHERE toxic = 1)::DOUBLE AS k FROM doc_labels GROUP BY rater HAVING count(toxic) > 0) SELECT rater, n::BIGINT AS n, k::BIGINT AS k, {wilson_sql('k', 'n')} FROM s")
 def wilson_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each rater's share of bad marks with its 95% interval."""
     rows = table(spark, sf_dir, "doc_labels").groupBy("rater").agg(F.count("toxic").alias("n"), F.count(F.when(c("toxic") == 1, 1)).alias("k")).where("n > 0")
@@ -421,13 +170,6 @@ def ruling_short_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ruling_id", answers.short_answer(c("answer")).alias("short"))
 
 
-@query("SELECT attack, defence, count(*) AS questions FROM (SELECT DISTINCT ruling_id FROM rulings WHERE question IS NOT NULL), (VALUES ('override'), ('fake-system'), ('citation-hijack'), ('leak'), ('fake-errata')) a(attack), (VALUES ('naive'), ('framed'), ('sandwich'), ('datamarking'), ('escaped')) d(defence) GROUP BY ALL")
-def injection_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cases of the injection test: every question, attack and defence."""
-    asked = table(spark, sf_dir, "rulings").where("question IS NOT NULL").select("ruling_id").distinct()
-    return answers.injection_grid(asked).groupBy("attack", "defence").agg(F.count(F.lit(1)).alias("questions"))
-
-
 @query(r"SELECT DISTINCT doc_id, sha256(regexp_replace(text, '<\s*/?\s*retrieved_passages\s*>', '[delimiter removed]', 'gi')) AS escaped FROM documents WHERE text IS NOT NULL")
 def escape_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents made safe to stand inside a prompt."""
@@ -441,7 +183,7 @@ FROM found JOIN k USING (candidate_id) JOIN p USING (passage_id)""")
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompt of each candidate over the passage that was known on its day, as a digest."""
     asked = table(spark, sf_dir, "candidates").dropDuplicates(["candidate_id"]).select("candidate_id", "question")
-    rows = p4_found(spark, sf_dir).join(asked, "candidate_id").join(_passages(spark, sf_dir).select("passage_id", "ref", "text"), "passage_id")
+    rows = p4_found(spark, sf_dir).join(asked, "candidate_id").join(passages(spark, sf_dir).select("passage_id", "ref", "text"), "passage_id")
     return rows.select("candidate_id", F.sha2(answers.prompt(c("question"), F.array(F.struct(c("ref").alias("source_ref"), "text"))), 256).alias("prompt_sha256"))
 
 
@@ -450,7 +192,7 @@ def quote_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers without what they copy from the passages that they cite."""
     rows = table(spark, sf_dir, "generations").dropDuplicates(["gen_id"]).where("text IS NOT NULL").select("gen_id", "text", F.explode_outer(answers.citations(c("text"))).alias("ref"))
     # All texts of a reference: an answer may copy what was said before it was restated.
-    texts = _passages(spark, sf_dir).where("text IS NOT NULL").select("ref", c("text").alias("passage")).distinct()
+    texts = passages(spark, sf_dir).where("text IS NOT NULL").select("ref", c("text").alias("passage")).distinct()
     held = rows.join(texts, "ref", "left").groupBy("gen_id", "text").agg(F.array_sort(F.collect_list(F.when(c("passage").isNotNull(), F.struct("ref", "passage")))).alias("p"))
     clean = held.withColumn("r", answers.redact(c("text"), F.transform("p", lambda x: x["ref"]), F.transform("p", lambda x: x["passage"])))
     return clean.select("gen_id", c("r.quotes").alias("quotes"), c("r.answer").alias("answer"))
@@ -586,7 +328,7 @@ WITH {P_SQL}, f AS (SELECT content_hash, min(published_at) AS first FROM p GROUP
 SELECT doc, count(*) AS n, count(*) FILTER (WHERE first >= DATE '{AS_OF}') AS fresh FROM d JOIN f USING (content_hash) GROUP BY doc""")
 def reuse_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of what was published since a day, how much is new text."""
-    rows = _passages(spark, sf_dir)
+    rows = passages(spark, sf_dir)
     day = F.lit(AS_OF).cast("date")
     return lineage.reuse(rows.where(c("published_at") >= day), rows.where(c("published_at") < day), ["doc"], "content_hash")
 
@@ -601,7 +343,7 @@ SELECT doc, rows, sha256(concat_ws(' ', rows, {", ".join(f"s{i}" for i in range(
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One digest a document, whatever the order of its passages."""
     text = lineage.line(c("content_hash"), c("ref"), c("valid_from"), c("valid_to"))
-    return lineage.fingerprint(_passages(spark, sf_dir), ["doc"], text)
+    return lineage.fingerprint(passages(spark, sf_dir), ["doc"], text)
 
 
 @query("WITH g AS (SELECT DISTINCT ON (gen_id) * FROM generations WHERE ruling_id IS NOT NULL) SELECT ruling_id, count(*) AS runs, count(DISTINCT coalesce(sha256(text), 'None')) AS outputs, count(DISTINCT coalesce(sha256(text), 'None')) = 1 AS same FROM g GROUP BY ruling_id")
@@ -621,14 +363,14 @@ def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {P_SQL} SELECT passage_id, valid_from + ((valid_to - valid_from) // 2)::INT AS midpoint FROM p WHERE valid_to IS NOT NULL AND valid_from IS NOT NULL AND valid_to >= valid_from")
 def window_midpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The day halfway through each closed window: when a question about the old text would be dated."""
-    rows = _passages(spark, sf_dir).where("valid_to IS NOT NULL AND valid_from IS NOT NULL AND valid_to >= valid_from")
+    rows = passages(spark, sf_dir).where("valid_to IS NOT NULL AND valid_from IS NOT NULL AND valid_to >= valid_from")
     return rows.select("passage_id", temporal.midpoint(c("valid_from"), c("valid_to")).alias("midpoint"))
 
 
 @query(f"WITH {P_SQL} SELECT doc, version, count(DISTINCT r) AS known FROM (SELECT doc, version, unnest(refs) AS r FROM p) GROUP BY ALL")
 def known_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rules the passages of each version carry."""
-    rows = _passages(spark, sf_dir).select("doc", "version", F.explode("refs").alias("r"))
+    rows = passages(spark, sf_dir).select("doc", "version", F.explode("refs").alias("r"))
     return rows.groupBy("doc", "version").agg(F.countDistinct("r").alias("known"))
 
 
