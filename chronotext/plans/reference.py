@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from chronotext.functions.text import reference
 from chronotext.operators import align, answers, evaluate, lineage, stats, temporal
 from chronotext.plans.core import P4_SQL, p4_found
-from chronotext.plans.registry import AS_OF, MODEL, P_SQL, PREFIX, REF_SQL, Register, c, passages, table, wilson_sql
+from chronotext.plans.registry import AS_OF, MODEL, P_SQL, PREFIX, REF_SQL, XREF_SQL, Register, align_sql, c, changes_sql, number_sql, passages, table, wilson_sql
+from chronotext.session import materialize
 from chronotext.sources import parse
 from chronotext.streaming import updates
 
@@ -94,6 +95,39 @@ def wilson_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rater", "n", "k", F.round("w.low", 6).alias("low"), F.round("w.high", 6).alias("high"))
 
 
+@query(f"""WITH s AS (SELECT category, count(DISTINCT ruling_id)::DOUBLE AS n FROM rulings GROUP BY category), h AS (SELECT category, n, {wilson_sql('round(0.5 * n)', 'n').replace('round(greatest', '(greatest').replace(', 6) AS low', ') AS low').replace('round(least', '(least').replace(', 6) AS high', ') AS high')} FROM s)
+SELECT category, n::BIGINT AS n, round((high - low) / 2, 6) AS half_width FROM h""")
+def half_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How exactly a share of one half could be measured on the rulings of each category."""
+    rows = table(spark, sf_dir, "rulings").groupBy("category").agg(F.countDistinct("ruling_id").alias("n"))
+    return rows.select("category", "n", F.round(stats.half_width(F.lit(0.5), c("n")), 6).alias("half_width"))
+
+
+@query("""
+WITH g AS (SELECT DISTINCT ON (gen_id) * FROM generations), r AS (SELECT median(prompt_tokens * 1e9 / prompt_ns) FILTER (WHERE prompt_ns > 0) AS prefill, median(answer_tokens * 1e9 / answer_ns) FILTER (WHERE answer_ns > 0) AS decode FROM g),
+t AS (SELECT count(DISTINCT ruling_id) AS questions FROM rulings) SELECT questions, round(3000 / prefill + 180 / decode, 6) AS answer_s, round(questions * (3000 / prefill + 180 / decode) / 3600, 6) AS hours FROM r, t""")
+def answer_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds an answer of the assumed length takes at the measured median rates, and hours for every ruling."""
+    rows = table(spark, sf_dir, "generations").dropDuplicates(["gen_id"])
+    rate = lambda tokens, ns: rows.where(f"{ns} > 0").select((c(tokens) * F.lit(1e9) / c(ns)).alias("rate"))
+    prefill, decode = (evaluate.latency_summary(rate(f"{x}_tokens", f"{x}_ns"), [], "rate").select(c("median").alias(x)) for x in ("prompt", "answer"))
+    asked = table(spark, sf_dir, "rulings").agg(F.countDistinct("ruling_id").alias("questions"))
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    both = one(asked).join(one(prefill), "_one").join(one(decode), "_one")
+    seconds = 3000 / c("prompt") + 180 / c("answer")
+    return both.select("questions", F.round(seconds, 6).alias("answer_s"), F.round(c("questions") * seconds / 3600, 6).alias("hours"))
+
+
+@query(f"""WITH m AS (SELECT doc_id, rater, max(toxic) AS mark FROM doc_labels GROUP BY ALL), p AS (SELECT x.mark AS x, y.mark AS y FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.rater < y.rater),
+s AS (SELECT count(*) FILTER (WHERE x = y)::DOUBLE AS k, count(*) FILTER (WHERE x <> y) AS disagree, count(*) FILTER (WHERE x IS NULL OR y IS NULL) AS unsure, count(*)::DOUBLE AS n FROM p)
+SELECT k::BIGINT AS agree, disagree, unsure, n::BIGINT AS n, {wilson_sql('k', 'n')} FROM s""")
+def review_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often two raters of a document agree, disagree or leave it open."""
+    rows = _rater_pairs(spark, sf_dir).agg(F.count(F.when(c("x") == c("y"), 1)).alias("agree"), F.count(F.when(c("x") != c("y"), 1)).alias("disagree"), F.count(F.when(c("x").isNull() | c("y").isNull(), 1)).alias("unsure"), F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("w", stats.wilson(c("agree"), c("n")))
+    return rows.select("agree", "disagree", "unsure", "n", F.round("w.low", 6).alias("low"), F.round("w.high", 6).alias("high"))
+
+
 def _rater_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks of one document by two raters."""
     marks = table(spark, sf_dir, "doc_labels").groupBy("doc_id", "rater").agg(F.max("toxic").alias("mark"))
@@ -216,17 +250,24 @@ def _edition_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return old, rules.join(following.select(c("next_id").alias("document_id")), "document_id", "left_semi")
 
 
+_RULES = "rl AS (SELECT DISTINCT ON (document_id, number) document_id, number, text FROM rules WHERE number IS NOT NULL AND text IS NOT NULL)"
+_VERSION = "list_transform(string_split(split_part(document_id, '@', -1), '.'), lambda x: try_cast(x AS INT))"
+_EDITIONS = f"ed AS (SELECT document_id, lead(document_id) OVER (PARTITION BY split_part(document_id, '@', 1) ORDER BY {_VERSION}, document_id) AS next_id FROM (SELECT DISTINCT document_id FROM rules))"
+_CHANGES = f"""WITH {_RULES}, {_EDITIONS}, o_r AS (SELECT next_id AS document_id, number, text FROM rl JOIN ed USING (document_id) WHERE next_id IS NOT NULL),
+n_r AS (SELECT * FROM rl WHERE document_id IN (SELECT next_id FROM ed WHERE next_id IS NOT NULL)), {align_sql('o_r', 'n_r', 'document_id')}, {changes_sql(align.FLIP_WORDS, 'document_id')}"""
+
+
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.what_changed(align.align(*_edition_pairs(spark, sf_dir), ["document_id"]), ["document_id"])
 
 
-@query()
+@query(f"{_CHANGES} SELECT document_id, old_number, new_number, round(similarity, 6) AS similarity, status, flips FROM changes")
 def align_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule of consecutive editions with its match, how it changed, and how the meaning may have."""
     return _changes(spark, sf_dir).select("document_id", "old_number", "new_number", F.round("similarity", 6).alias("similarity"), "status", "flips")
 
 
-@query()
+@query(f"{_CHANGES} SELECT document_id, status, count(*) AS n FROM changes GROUP BY ALL")
 def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rules of each edition are changed, added, removed, renumbered and unchanged."""
     return _changes(spark, sf_dir).groupBy("document_id", "status").agg(F.count(F.lit(1)).alias("n"))
@@ -239,7 +280,16 @@ def changed_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("document_id", "old_number", "new_number", "flips", align.word_diff(c("old_text"), c("new_text")).alias("diff"))
 
 
-@query()
+@query(f"{_CHANGES} SELECT * FROM (SELECT document_id, old_number, new_number, flips, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY document_id ORDER BY flips DESC, similarity, {number_sql('old_number')}, old_number) AS rank FROM changes WHERE status = 'changed') WHERE rank <= 20")
+def top_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty changes of each edition that most likely turn a meaning (a top-k report)."""
+    rows = align.top_changes(_changes(spark, sf_dir), ["document_id"], 20)
+    return rows.select("document_id", "old_number", "new_number", "flips", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(f"""{_CHANGES}, a AS (SELECT DISTINCT candidate_id, split_part(ref, ':', 1) AS doc, split_part(ref, ':', -1) AS number FROM (SELECT candidate_id, {REF_SQL.replace('source_ref', 'about')} AS ref FROM candidates WHERE about IS NOT NULL)),
+st AS (SELECT document_id, old_number AS number, min(status) AS status FROM changes WHERE old_number IS NOT NULL GROUP BY ALL)
+SELECT e.next_id AS document_id, candidate_id, a.number, coalesce(status, 'missing') AS status FROM a JOIN ed e ON split_part(e.document_id, '@', 1) = doc AND next_id IS NOT NULL LEFT JOIN st ON st.document_id = next_id AND st.number = a.number""")
 def rule_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the next edition did to the rules under the numbers that candidates ask about."""
     asked = table(spark, sf_dir, "candidates").where("about IS NOT NULL").select("candidate_id", reference(c("about")).alias("ref"))
@@ -265,7 +315,25 @@ def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.parse_rules(pages, "page", "text")
 
 
-@query()
+_COUNT = lambda line: f"len(regexp_split_to_array(trim({line}, ' '), '\\s+'))"
+
+
+def _chunks_sql(cap: int) -> str:
+    """CTEs to ``ch``: document_id, source_ref, part, refs, tokens, text of the rules in chunks of at most ``cap`` words."""
+    return f"""RECURSIVE rl AS (SELECT DISTINCT ON (document_id, number) document_id, number, text, split_part(number, '.', 1) AS topmost, array_to_string(string_split(number, '.')[1:2], '.') AS source_ref FROM rules WHERE number IS NOT NULL AND text IS NOT NULL),
+pa AS (SELECT DISTINCT document_id, topmost FROM rl WHERE number <> topmost), hd AS (SELECT document_id, topmost, number AS hn, number || '. ' || text AS ht FROM rl JOIN pa USING (document_id, topmost) WHERE number = topmost),
+mb AS (SELECT rl.document_id, source_ref, number, number || '. ' || text AS line, CASE WHEN contains(source_ref, '.') THEN hn END AS hn, CASE WHEN contains(source_ref, '.') THEN ht END AS ht,
+  row_number() OVER (PARTITION BY rl.document_id, source_ref ORDER BY {number_sql('number')}, number) AS i FROM rl LEFT JOIN pa USING (document_id, topmost) LEFT JOIN hd USING (document_id, topmost) WHERE pa.topmost IS NULL OR number <> topmost),
+mw AS (SELECT *, {_COUNT('line')} AS w, coalesce({_COUNT('ht')}, 0) AS base FROM mb),
+fo AS (SELECT document_id, source_ref, i, 0 AS part, base + w AS used FROM mw WHERE i = 1 UNION ALL
+  SELECT m.document_id, m.source_ref, m.i, CASE WHEN f.used + m.w > {cap} THEN f.part + 1 ELSE f.part END, CASE WHEN f.used + m.w > {cap} THEN m.base + m.w ELSE f.used + m.w END
+  FROM fo f JOIN mw m ON m.document_id = f.document_id AND m.source_ref = f.source_ref AND m.i = f.i + 1),
+ct AS (SELECT document_id, source_ref, part, any_value(hn) AS hn, any_value(ht) AS ht, list(number ORDER BY i) AS ns, string_agg(line, chr(10) ORDER BY i) AS body FROM fo JOIN mw USING (document_id, source_ref, i) GROUP BY ALL),
+cx AS (SELECT document_id, source_ref, part, CASE WHEN hn IS NULL THEN ns ELSE list_prepend(hn, ns) END AS refs, CASE WHEN ht IS NULL THEN body ELSE ht || chr(10) || body END AS text FROM ct),
+ch AS (SELECT *, {_COUNT('text')}::INT AS tokens FROM cx)"""
+
+
+@query(f"WITH {_chunks_sql(60)} SELECT document_id, source_ref, part, array_to_string(refs, ' ') AS refs, tokens, sha256(text) AS text_sha256 FROM ch")
 def chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules of every edition in chunks of at most 60 words."""
     return parse.chunks(table(spark, sf_dir, "rules"), "document_id", 60).select("document_id", "source_ref", "part", F.array_join("refs", " ").alias("refs"), "tokens", F.sha2("text", 256).alias("text_sha256"))
@@ -280,12 +348,22 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(parse.page_text(c("text")), 256).alias("page")).distinct()
 
 
-@query("SELECT DISTINCT ON (ruling_id) ruling_id, CASE WHEN faq_backed THEN created + 14 ELSE created END AS date, CASE WHEN faq_backed THEN 'stated' ELSE 'announcement-date' END AS basis FROM rulings WHERE created IS NOT NULL AND faq_backed IS NOT NULL")
+@query("""
+WITH r AS (SELECT DISTINCT ON (ruling_id) ruling_id, created, faq_backed, day(created) % 6 AS k FROM rulings WHERE created IS NOT NULL AND faq_backed IS NOT NULL)
+SELECT ruling_id, CASE WHEN NOT faq_backed THEN CASE WHEN k < 5 THEN created END WHEN k < 5 THEN created + 14 END AS date,
+  CASE WHEN NOT faq_backed THEN CASE WHEN k < 5 THEN 'announcement-date' ELSE 'no date' END WHEN k < 5 THEN 'stated' ELSE 'ambiguous' END AS basis FROM r""")
 def effective_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rulings as announcement pages, and the day from which each says that it holds."""
-    rows = table(spark, sf_dir, "rulings").dropDuplicates(["ruling_id"]).where("created IS NOT NULL AND faq_backed IS NOT NULL")
-    said = F.when(c("faq_backed"), F.concat(F.lit("<p>This ruling takes effect on "), F.date_format(F.date_add("created", 14), "MMMM d, yyyy"), F.lit(".</p>"))).otherwise("")
-    page = F.concat(F.lit('<script>{"datePublished":"'), c("created").cast("string"), F.lit('T09:00Z"}</script>'), said, F.lit("<p>"), F.coalesce("question", F.lit("")), F.lit("</p>Related Articles"))
+    """Rulings as announcement pages, and the day from which each says that it holds: stated in four formats, once or twice, ambiguously or not at all."""
+    rows = table(spark, sf_dir, "rulings").dropDuplicates(["ruling_id"]).where("created IS NOT NULL AND faq_backed IS NOT NULL").withColumn("k", F.day("created") % 6)
+    at, later = F.date_add("created", 14), F.date_add("created", 15)
+    on = lambda phrase, day, form: F.concat(F.lit(f"<p>This ruling {phrase} "), F.date_format(day, form), F.lit(".</p>"))
+    said = (
+        F.when(c("k") == 0, on("takes effect on", at, "MMMM d, yyyy")).when(c("k") == 1, on("is effective", at, "d MMMM yyyy")).when(c("k") == 2, on("goes into effect", at, "yyyy-MM-dd"))
+        .when(c("k") == 3, on("is in effect from", at, "M/d/yyyy")).when(c("k") == 4, F.concat(on("takes effect on", at, "MMMM d, yyyy"), on("is effective", at, "yyyy-MM-dd")))
+        .otherwise(F.concat(on("takes effect on", at, "MMMM d, yyyy"), on("is effective", later, "yyyy-MM-dd")))
+    )
+    printed = F.when(c("faq_backed") | (c("k") < 5), F.concat(F.lit('<script>{"datePublished":"'), c("created").cast("string"), F.lit('T09:00Z"}</script>'))).otherwise("")
+    page = F.concat(printed, F.when(c("faq_backed"), said).otherwise(""), F.lit("<p>"), F.coalesce("question", F.lit("")), F.lit("</p>Related Articles <p>Effective 2020-01-01</p>"))
     return rows.withColumn("e", parse.effective(page)).select("ruling_id", "e.date", "e.basis")
 
 
@@ -299,18 +377,34 @@ def parsed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("passage_id", "r.doc", "r.version", "r.number")
 
 
-@query("SELECT document_id, count(DISTINCT number) AS rules, sum(len(regexp_split_to_array(trim(text, ' '), '\\s+')))::BIGINT AS words, max(len(regexp_split_to_array(trim(text, ' '), '\\s+')))::BIGINT AS longest FROM (SELECT DISTINCT document_id, number, text FROM rules WHERE trim(text, ' ') <> '' AND number IS NOT NULL) GROUP BY document_id")
+@query(f"""WITH {_chunks_sql(parse.CHUNK_TOKENS)}, n AS (SELECT document_id, count(DISTINCT number) AS rules FROM rl GROUP BY 1)
+SELECT document_id, rules, count(*) AS chunks, round(median(tokens), 6) AS median, max(tokens) AS longest, sum(tokens)::BIGINT AS tokens FROM ch JOIN n USING (document_id) GROUP BY document_id, rules""")
 def corpus_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules and words of every edition."""
-    rows = table(spark, sf_dir, "rules").where("trim(text) <> '' AND number IS NOT NULL").select("document_id", "number", "text").distinct()
-    n = F.size(F.split(F.trim("text"), r"\s+")).cast("bigint")
-    return rows.groupBy("document_id").agg(F.countDistinct("number").alias("rules"), F.sum(n).alias("words"), F.max(n).alias("longest"))
+    """Rules and chunks of every edition, and the words of the chunks."""
+    rules = table(spark, sf_dir, "rules")
+    made = materialize(parse.chunks(rules, "document_id").select("document_id", "tokens"))
+    counts = rules.where("number IS NOT NULL AND text IS NOT NULL").groupBy("document_id").agg(F.countDistinct("number").alias("rules"))
+    sizes = evaluate.latency_summary(made, ["document_id"], "tokens").select("document_id", c("n").alias("chunks"), F.round("median", 6).alias("median"), c("max").alias("longest"))
+    return counts.join(sizes, "document_id").join(made.groupBy("document_id").agg(F.sum("tokens").alias("tokens")), "document_id")
 
 
-@query("SELECT DISTINCT document_id, 'not doc@MAJOR.MINOR' AS fault FROM rules WHERE document_id IS NULL OR NOT regexp_full_match(document_id, '[a-z]+@\\d+\\.\\d+')")
+@query("SELECT DISTINCT about AS entry, 'not doc@MAJOR.MINOR' AS fault FROM (SELECT split_part(source_ref, ':', 1) AS about FROM passages) WHERE about IS NULL OR NOT regexp_full_match(about, '[a-z]+@\\d+\\.\\d+')")
 def registry_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Editions whose id is malformed."""
-    return parse.registry_faults(table(spark, sf_dir, "rules").select("document_id").distinct(), "document_id")
+    """Editions whose id is malformed, as the passages spell them."""
+    entries = table(spark, sf_dir, "passages").select(F.substring_index("source_ref", ":", 1).alias("entry")).distinct()
+    return parse.registry_faults(entries, "entry")
+
+
+@query(r"""
+WITH s AS (SELECT about AS ref FROM (SELECT DISTINCT candidate_id, about FROM candidates) UNION ALL SELECT source_ref FROM (SELECT DISTINCT passage_id, source_ref FROM passages))
+SELECT coalesce(CASE WHEN ref IS NULL OR trim(ref, ' ') = '' THEN 'empty' WHEN NOT contains(ref, '@') THEN 'no version' WHEN NOT contains(ref, ':') THEN 'no rule number'
+  WHEN NOT regexp_matches(ref, '^([a-z]+)@v?(\d+\.\d+):(\d{3}(?:\.\w+)*)$') THEN 'malformed' END, 'none') AS error, count(*) AS n FROM s GROUP BY 1""".replace("\\\\", "\\"))
+def reference_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the references as they are written, counted."""
+    asked = table(spark, sf_dir, "candidates").select("candidate_id", c("about").alias("ref")).distinct().select("ref")
+    held = table(spark, sf_dir, "passages").select("passage_id", c("source_ref").alias("ref")).distinct().select("ref")
+    rows = asked.unionByName(held).select(parse.parsed_reference(c("ref"))["error"].alias("error"))
+    return rows.groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- lineage ----------------------------------------------------------------------------------------------------------------------
@@ -382,7 +476,15 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.crosstab(_rater_pairs(spark, sf_dir).withColumn("y", c("y").cast("string")), "x", "y", ["0", "1"]).withColumnRenamed("x", "first")
 
 
-@query()
+_HISTORY = f"""WITH rv AS (SELECT DISTINCT ON (document_id, number) split_part(document_id, '@', 1) AS doc, {_VERSION} AS v, number, text FROM rules WHERE number IS NOT NULL AND text IS NOT NULL),
+la AS (SELECT doc, max(v) AS latest FROM rv GROUP BY doc), o_r AS (SELECT doc || '@' || array_to_string(v, '.') AS e, number, text FROM rv JOIN la USING (doc) WHERE v < latest),
+n_r AS (SELECT DISTINCT e, number, text FROM rv JOIN la USING (doc) JOIN (SELECT DISTINCT e, split_part(e, '@', 1) AS doc FROM o_r) USING (doc) WHERE v = latest), {align_sql('o_r', 'n_r', 'e')},
+nw2 AS (SELECT split_part(e, '@', 1) AS doc, list_transform(string_split(split_part(e, '@', -1), '.'), lambda x: CAST(x AS INT)) AS v, * FROM matched), mx AS (SELECT doc, max(v) AS newest FROM nw2 GROUP BY doc),
+jd AS (SELECT doc, new_number AS number, max(CASE WHEN v = newest AND old_number IS NOT NULL THEN 1 ELSE 0 END) AS known,
+  min(CASE WHEN old_number IS NOT NULL THEN (regexp_replace(old_text, '{XREF_SQL}', 'rule #', 'g') = regexp_replace(new_text, '{XREF_SQL}', 'rule #', 'g'))::INT END) AS same FROM nw2 JOIN mx USING (doc) WHERE new_number IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"{_HISTORY} SELECT doc, number, CASE WHEN known = 0 THEN 'new' WHEN same = 1 THEN 'stable' ELSE 'changed' END AS status FROM jd")
 def rule_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each rule of a document's latest edition: new, stable or changed over all older editions."""
     rules = table(spark, sf_dir, "rules").where("number IS NOT NULL AND text IS NOT NULL").dropDuplicates(["document_id", "number"])
@@ -419,10 +521,11 @@ def sales_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.rollup("r_name", "n_name").agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= DATE '1998-01-01')")
 def idle_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An anti join."""
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), c("o_custkey") == c("c_custkey"), "left_anti").select("c_custkey")
+    """An anti join: customers without an order in the last year."""
+    recent = table(spark, sf_dir, "orders").where(c("o_orderdate") >= F.lit("1998-01-01").cast("date"))
+    return table(spark, sf_dir, "customer").join(recent, c("o_custkey") == c("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER w, 2) AS running, row_number() OVER w AS place, lag(o_orderkey) OVER w AS previous FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
