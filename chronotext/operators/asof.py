@@ -47,8 +47,8 @@ def attributes_as_known(
 ) -> DataFrame:
     """``event_id``, ``row_id``: for each event the row of ``known_intervals`` that held for its entity at that time.
 
-    Intervals are exploded into buckets of ``bucket_days`` (open ones up to the last event), events are joined to them by
-    entity and bucket, and a residual test keeps start <= at < stop. Of several rows the one with the latest ``valid_from``
+    Intervals are exploded into those buckets of ``bucket_days`` in which their entity has events (so neither open intervals nor odd
+    dates multiply them), events are joined to them by entity and bucket, and a residual test keeps start <= at < stop. Of several rows the one with the latest ``valid_from``
     wins, then the latest published, then the highest ``row_id``. Events without a row, entity or time are left out;
     repeated events give one row. Entities with many events are spread over tasks (``salted_join``); an entity has
     no more intervals a bucket than series times days.
@@ -59,13 +59,11 @@ def attributes_as_known(
         .distinct()
         .withColumn("bucket", _bucket(F.col("at"), bucket_days))
     )
-    last = events.agg(F.max(at)).scalar()
-    held = (
-        intervals.withColumn("last", F.least(F.date_sub("stop", 1), last))
-        .where("start <= last")
-        .withColumn("bucket", F.explode(F.sequence(_bucket(F.col("start"), bucket_days), _bucket(F.col("last"), bucket_days))))
-        .drop("last")
-    )
+    # As many numbers an entity as the calendar has buckets, at most.
+    visited = asked.groupBy("entity").agg(F.collect_set("bucket").alias("buckets"))
+    first, last = _bucket(F.col("start"), bucket_days), _bucket(F.date_sub("stop", 1), bucket_days)
+    touched = F.filter("buckets", lambda b: (b >= F.col("first")) & (F.col("last").isNull() | (b <= F.col("last"))))
+    held = intervals.withColumns({"first": first, "last": last}).join(visited, "entity").withColumn("bucket", F.explode(touched)).drop("first", "last", "buckets")
     matched = salted_join(asked, held, ["entity", "bucket"], F.col("event_id")).where("start <= at AND (stop IS NULL OR at < stop)")
     best = F.max(F.struct("valid_from", "published", "row_id"))
     return matched.groupBy("event_id", "at", "entity").agg(best.alias("best")).select("event_id", F.col("best.row_id").alias("row_id")).distinct()

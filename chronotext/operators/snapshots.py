@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ THRESHOLD = 0.5
 TOLERANCE = 0.001
 #: Up to so many keys of unpaired texts (some 60 bytes each) are sent to every executor; beyond it their texts are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: A round of ``greedy_pairs`` always settles the best pair, so this many rounds mean something is wrong.
-MAX_ROUNDS = 10_000
+#: Edges of a comparison (some 100 bytes each) that one task may settle.
+GROUP_EDGES = 500_000
 
 
 def row_hash(text: Column) -> Column:
@@ -77,37 +78,63 @@ def similar_texts(texts: DataFrame, by: list[str], threshold: float) -> DataFram
     return both.select(*by, "old_hash", "new_hash", jaccard(F.col("ga"), F.col("gb")).alias("sim")).where(F.col("sim") >= threshold)
 
 
-def greedy_pairs(edges: DataFrame) -> DataFrame:
+def _one_by_one(edges: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of one comparison, taken in descending order of similarity; ties go to the smaller hashes."""
+    used_old: dict[bytes, int] = {}
+    used_new: dict[bytes, int] = {}
+    taken = []
+    rows = sorted(zip(-edges["sim"], edges["old_hash"], edges["new_hash"], edges["n_old"], edges["n_new"], edges["at_old"], edges["at_new"]))
+    for less, old, new, n_old, n_new, at_old, at_new in rows:
+        i, j = used_old.get(old, at_old), used_new.get(new, at_new)
+        if (n := min(n_old - i, n_new - j)) > 0:
+            taken.append((old, new, -less, i, j, n))
+            used_old[old], used_new[new] = i + n, j + n
+    out = pd.DataFrame(taken, columns=["old_hash", "new_hash", "sim", "at_old", "at_new", "n"])
+    for c in ("snap", "doc"):
+        out.insert(0, c, edges[c].iloc[0])
+    return out
+
+
+def _mutual_bests(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs that are the best of both their sides, which is what taking the pairs one by one would settle; and the edges that remain."""
+    old, new = ["doc", "snap", "old_hash"], ["doc", "snap", "new_hash"]
+    order = F.struct(-F.col("sim"), "old_hash", "new_hash")
+    best_old = left.groupBy(*old).agg(F.min(order).alias("o")).select(*old, "o.new_hash")
+    best_new = left.groupBy(*new).agg(F.min(order).alias("o")).select(*new, "o.old_hash")
+    mutual = best_old.join(best_new, ["doc", "snap", "old_hash", "new_hash"])
+    n = F.least(F.col("n_old") - F.col("at_old"), F.col("n_new") - F.col("at_new"))
+    now = materialize(left.join(mutual, ["doc", "snap", "old_hash", "new_hash"]).withColumn("n", n))
+    used_old, used_new = now.select(*old, F.col("n").alias("u_old")), now.select(*new, F.col("n").alias("u_new"))
+    rest = (
+        left.join(mutual, ["doc", "snap", "old_hash", "new_hash"], "left_anti")
+        .join(used_old, old, "left").join(used_new, new, "left")
+        .withColumn("at_old", F.col("at_old") + F.coalesce("u_old", F.lit(0)))
+        .withColumn("at_new", F.col("at_new") + F.coalesce("u_new", F.lit(0)))
+        .where("at_old < n_old AND at_new < n_new").drop("u_old", "u_new")
+    )
+    return now, materialize(rest)
+
+
+def greedy_pairs(edges: DataFrame, group_edges: int = GROUP_EDGES) -> DataFrame:
     """One-to-one pairs of text classes, the most similar first; ``at_old``/``at_new``: how many copies were paired before, ``n``: how many now.
 
-    ``edges`` has doc, snap, old_hash, new_hash, sim, n_old, n_new (copies of each class). Every round settles all pairs
-    that are the best of both their sides, which is what taking the pairs one by one in descending order would settle.
-    Ties go to the smaller hashes. The rounds are few (chains of ever better partners), each over what is left.
+    ``edges`` has doc, snap, old_hash, new_hash, sim, n_old, n_new (copies of each class). Ties go to the smaller hashes. A comparison of
+    up to ``group_edges`` edges is settled in one task; a larger one first in rounds, each of which settles all pairs that are the best
+    of both their sides, until what is left of it is small enough. Every round settles a pair at least, so they come to an end.
     """
-    old, new, settled = ["doc", "snap", "old_hash"], ["doc", "snap", "new_hash"], []
+    columns = ["doc", "snap", "old_hash", "new_hash", "sim", "at_old", "at_new", "n"]
     left = materialize(edges.withColumns({"at_old": F.lit(0).cast("bigint"), "at_new": F.lit(0).cast("bigint")}))
-    for _ in range(MAX_ROUNDS):
-        if left.isEmpty():
-            break
-        order = F.struct(-F.col("sim"), "old_hash", "new_hash")
-        best_old = left.groupBy(*old).agg(F.min(order).alias("o")).select(*old, "o.new_hash")
-        best_new = left.groupBy(*new).agg(F.min(order).alias("o")).select(*new, "o.old_hash")
-        mutual = best_old.join(best_new, ["doc", "snap", "old_hash", "new_hash"])
-        now = materialize(left.join(mutual, ["doc", "snap", "old_hash", "new_hash"]).withColumn("n", F.least(F.col("n_old") - F.col("at_old"), F.col("n_new") - F.col("at_new"))))
-        settled.append(now.select("doc", "snap", "old_hash", "new_hash", "sim", "at_old", "at_new", "n"))
-        used_old, used_new = now.select(*old, F.col("n").alias("u_old")), now.select(*new, F.col("n").alias("u_new"))
-        rest = (
-            left.join(mutual, ["doc", "snap", "old_hash", "new_hash"], "left_anti")
-            .join(used_old, old, "left").join(used_new, new, "left")
-            .withColumn("at_old", F.col("at_old") + F.coalesce("u_old", F.lit(0)))
-            .withColumn("at_new", F.col("at_new") + F.coalesce("u_new", F.lit(0)))
-            .where("at_old < n_old AND at_new < n_new").drop("u_old", "u_new")
-        )
-        left = materialize(rest)
-    else:
-        raise RuntimeError(f"pairs unsettled after {MAX_ROUNDS} rounds")
-    empty = left.select("doc", "snap", "old_hash", "new_hash", "sim", "at_old", "at_new", F.lit(0).cast("bigint").alias("n")).limit(0)
-    return reduce(DataFrame.unionByName, settled, empty)
+    empty = left.withColumn("n", F.lit(0).cast("bigint")).select(*columns)
+    schema, settled = empty.schema, []
+    while True:
+        large = materialize(left.groupBy("doc", "snap").count().where(F.col("count") > group_edges).select("doc", "snap"))
+        done = large.isEmpty()
+        small = left if done else left.join(large, ["doc", "snap"], "left_anti")
+        settled.append(small.groupBy("doc", "snap").applyInPandas(_one_by_one, schema))
+        if done:
+            return reduce(DataFrame.unionByName, settled)
+        now, left = _mutual_bests(left.join(large, ["doc", "snap"]))
+        settled.append(now.select(*columns))
 
 
 def snapshot_changes(

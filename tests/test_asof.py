@@ -68,3 +68,8 @@ def test_against_brute_force(spark, rows):
         passages.append((i, f"core@1.{rng.randrange(3)}:{rng.randrange(4)}", rng.randrange(60), start, None if rng.random() < 0.2 else start + rng.randrange(30)))
     events = [(f"c{i}", f"core:{rng.choice([0, 0, 0, 1, 2, 3])}", rng.randrange(70)) for i in range(400)]
     assert rows(run(spark, passages, events)) == brute(passages, events)
+
+
+def test_one_odd_date_multiplies_nothing(spark, rows):
+    passages = [(1, "a@1.0:1", 0, 0, None), (2, "a@1.0:2", 0, 0, None)]
+    assert rows(run(spark, passages, [("e", "a:1", 1), ("far", "a:1", 2_900_000), ("f", "a:2", 3)])) == [("e", 1), ("f", 2), ("far", 1)]

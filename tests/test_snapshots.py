@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from chronotext.operators import snapshots
 from chronotext.operators.snapshots import snapshot_changes
 
 SCHEMA = "doc string, snap_no int, delivered_at timestamp, number string, text string, similarity double, hash string, old boolean"
@@ -115,3 +116,14 @@ def test_against_brute_force(spark, rows):
                 new[n if rng.random() < 0.8 else f"9{len(new)}.1"] = " ".join(w)
             book = new | {f"7{snap}{i}": " ".join(rng.choice(names) for _ in range(9)) for i in range(3)}
     assert rows(changes(spark, data)) == brute(data)
+
+
+def test_large_comparisons_go_by_rounds(spark, rows):
+    rng = random.Random(11)
+    edges = [("d", s, bytes([i]), bytes([100 + j]), rng.choice([0.5, 0.6, 0.75, 0.9]), 1 + i % 3, 1 + j % 2) for s in (1, 2) for i in range(12) for j in range(12) if rng.random() < 0.4]
+    # A chain of ever better partners: each round settles one pair.
+    edges += [("chain", 1, bytes([i]), bytes([100 + i + k]), 0.5 + (2 * i + k) / 200, 1, 1) for i in range(12) for k in (0, 1)]
+    df = spark.createDataFrame(edges, "doc string, snap int, old_hash binary, new_hash binary, sim double, n_old bigint, n_new bigint")
+    whole = rows(snapshots.greedy_pairs(df))
+    assert rows(snapshots.greedy_pairs(df, group_edges=20)) == whole and len(whole) > 20
+    assert rows(snapshots.greedy_pairs(df.limit(0))) == []
