@@ -11,6 +11,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ LABEL = r"(?:answer|response|reply|question|q|a|you asked|antwort|frage|r\u00e9p
 PLACEHOLDER = re.compile(r"(?:null|none|nil|nan|n ?/? ?a|tbd|tba|todo|undefined|unknown|placeholder|no answer|empty|blank|missing|lorem ipsum|x+)", re.I)
 YES_NO = set("yes no yep nope yeah oui non ja nein s\u00ed si sim n\u00e3o nao da net \u0434\u0430 \u043d\u0435\u0442 \u306f\u3044 \u3044\u3044\u3048 \u662f \u4e0d\u662f tak nie nee correct true false".split())
 UNABLE = re.compile(
-    r"\b(?:cannot|can'?t|can not|could not|couldn'?t|unable to|not able to|won'?t be able to|wouldn'?t be able to|not in a position to|(?:not |im)possible (?:for me )?to|no way (?:for me )?to)\s+(?:\w+\s+){0,3}?(?:answer|help|assist|tell|say|rul\w+|determin\w+|decid\w+|provide|give|comment|respond|be determined)\b"
+    r"\b(?:cannot|can'?t|can not|could not|couldn'?t|unable to|not able to|won'?t be able to|wouldn'?t be able to|not in a position to|(?:not |im)possible (?:for me )?to|no way (?:for me )?to)\s+(?:\w+\s+){0,3}?(?:answer|help|assist|tell|say|rul(?:e|ing)|determin\w+|decid\w+|provide|give|comment|respond|be determined)\b"
     r"|\bbeyond (?:my|what i)\b|\boutside (?:of )?(?:what|my|the scope)\b", re.I)
 UNINFORMED = re.compile(
     r"\b(?:passages?|context|sources?|documents?|excerpts?)\b[^.:;]{0,40}\b(?:do(?:es)? not|don'?t|doesn'?t|no|never|lack)\b[^.:;,]{0,40}\b(?:answer|information|cover|say|help|enough)\b"
@@ -57,6 +58,17 @@ FUNCTION_WORDS = {
 }
 SCRIPTS = {"ru": "\u0400-\u04ff", "ja": "\u3040-\u30ff", "zh": "\u4e00-\u9fff", "ko": "\uac00-\ud7af", "el": "\u0370-\u03ff", "ar": "\u0600-\u06ff", "he": "\u0590-\u05ff", "hi": "\u0900-\u097f", "th": "\u0e00-\u0e7f"}
 
+# Words without one of which none of the phrases above can stand in a text; what is not told by words stands apart.
+TRIGGERS = {
+    UNABLE: "cannot can't cant couldn't couldnt unable won't wouldn't impossible way beyond outside not",
+    UNINFORMED: "passage passages context source sources document documents excerpt excerpts insufficient enough relevant little cannot answer know",
+    UNWILLING: "decline prefer rather comfortable comment ruling instructions ai language assistant allowed refuse pass skip against",
+    ELSEWHERE: "consult ask contact refer look check matter",
+    FOREIGN_REFUSAL: "puedo contienen prefiero posible imposible mejor s\u00e9 modelo peux puis pouvons permettent mod\u00e8le sais impossible pr\u00e9f\u00e8re nichts nicht wei\u00df sprachmodell m\u00f6glich lieber keine n\u00e3o non",
+}
+WORDLESS = ("\u043d\u0435", "\u304a\u7b54\u3048", "\u308f\u304b\u308a\u307e\u305b\u3093", "\u65e0\u6cd5")
+
+_CUES = [(cue, frozenset(words.split())) for cue, words in TRIGGERS.items()]
 _BY_LANGUAGE = {language: frozenset(words.split()) for language, words in FUNCTION_WORDS.items()}
 _LANGUAGES: dict[str, list[str]] = {}
 for _language, _words in FUNCTION_WORDS.items():
@@ -72,7 +84,14 @@ _UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 
 
 def _plain(text: str) -> str:
-    return _UNSEEN.sub("", html.unescape(_TAG.sub(" ", text))).replace("\u2019", "'")
+    """Lower case, without tags, entities and unseen characters."""
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "&" in text:
+        text = html.unescape(text)
+    if not text.isascii():
+        text = _UNSEEN.sub("", text).replace("\u2019", "'")
+    return text.lower()
 
 
 def _script(text: str) -> str | None:
@@ -90,69 +109,94 @@ def _language(words: list[str], text: str) -> tuple[str | None, float]:
     """The most likely language and its evidence."""
     if language := _script(text):
         return language, float(len(text))
-    score: Counter[str] = Counter()
+    score: dict[str, float] = {}
     for word in words:
         for part in word.split("'") if "'" in word else (word,):
-            known = _LANGUAGES.get(part, ())
-            for language in known:
-                score[language] += 1 / len(known)
+            if known := _LANGUAGES.get(part):
+                share = 1 / len(known)
+                for language in known:
+                    score[language] = score.get(language, 0.0) + share
     if not score:
         return None, 0.0
-    (best, n), *rest = score.most_common(2)
-    return (best, n) if not rest or n > rest[0][1] else (None, 0.0)
+    best = max(score, key=score.__getitem__)
+    n = score.pop(best)
+    return (best, n) if n > max(score.values(), default=0.0) else (None, 0.0)
 
 
 def _edit_share(a: str, b: str) -> float:
-    """Edit distance over the longer length (Levenshtein's, by rows)."""
+    """Levenshtein's distance over the longer length.
+
+    The columns of the distance table are bit vectors of differences, so a column costs a few operations on whole numbers, however long
+    the texts are.
+    """
     if not a or not b:
         return 1.0
-    row = np.arange(len(b) + 1)
-    codes = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    places = np.arange(len(b) + 1)
-    for i, c in enumerate(a, 1):
-        new = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
-        new = np.concatenate([[i], new])
-        row = np.minimum.accumulate(new - places) + places
-    return float(row[-1]) / max(len(a), len(b))
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    rises, falls, distance = every, 0, len(a)
+    for c in b:
+        same = places.get(c, 0)
+        level = (((same & rises) + rises) ^ rises) | same
+        up, down = falls | (every & ~(level | rises)), rises & level
+        distance += bool(up & last) - bool(down & last)
+        up, down = up << 1 | 1, down << 1
+        rises, falls = (down | ~(same | falls | up)) & every, up & (same | falls) & every
+    return distance / max(len(a), len(b))
+
+
+@lru_cache(maxsize=8_192)
+def _asked(question: str) -> tuple[list[str], frozenset[str], str | None, float]:
+    """The words of a question, their set, its language and the evidence for that. A question is asked many times."""
+    plain = _plain(question)
+    words = _WORD.findall(plain)
+    return words, frozenset(words), *_language(words, plain)
 
 
 def votes(text: str | None, done_reason: str | None, question: str | None) -> dict[str, list[int | None]]:
     """For each defect what its functions say: 1 for, 0 against, None nothing."""
     plain = _plain(text or "")
-    body = _LABELS.sub(" ", plain)
-    words = [w.lower() for w in _WORD.findall(body)]
+    body = _LABELS.sub(" ", plain) if ":" in plain or "\uff1a" in plain else plain
+    words = _WORD.findall(body)
     bare = " ".join(words)
-    brief = bool(words) and all(w in YES_NO or w in ("once", "please") for w in words)
+    brief = bool(words) and len(words) < 40 and all(w in YES_NO or w in ("once", "please") for w in words)
     out: dict[str, list[int | None]] = {}
 
-    placeholder = bool(PLACEHOLDER.fullmatch(bare)) or bool(PLACEHOLDER.fullmatch(body.strip(" \t\r\n()[]<>\"'.`*-_")))
-    out["empty"] = [int(not words or placeholder), int(not words) if not placeholder else 1, 0 if brief or len(words) > 4 else None, 1 if text is None or not text.strip() else None]
+    # Placeholders have three words at most. Apart from their list, so few letters seldom say anything.
+    letters = sum(map(len, words))
+    placeholder = len(words) <= 4 and (bool(PLACEHOLDER.fullmatch(bare)) or bool(PLACEHOLDER.fullmatch(body.strip(" \t\r\n()[]<>\"'.`*-_"))))
+    out["empty"] = [int(not words or placeholder), None if brief or 12 <= letters <= 30 else int(letters < 12), 0 if brief or len(words) > 4 else None, 1 if text is None or not text.strip() else None]
 
     # What remains without the question's words shows whether anything is answered.
-    asked = [w.lower() for w in _WORD.findall(_plain(question))] if question and question.strip() else []
+    asked, asked_words, theirs, evidence = _asked(question) if question and question.strip() else ([], frozenset(), None, 0.0)
     known = bool(asked)
     left = list(words)
-    if known:
+    if known and asked[0] in words:
         left, at, n = [], 0, len(asked)
         while at < len(words):
-            if words[at : at + n] == asked:
+            if words[at] == asked[0] and words[at : at + n] == asked:
                 at += n
             else:
                 left.append(words[at])
                 at += 1
-    cue = [UNABLE, UNINFORMED, UNWILLING, ELSEWHERE, FOREIGN_REFUSAL]
-    sentences = [s for s in _SENTENCE.split(body) if s and _WORD.search(s)]
-    hits = [1 if c.search(body) else None for c in cue]
+    told = set(words)
+    told.update(part for w in words if "'" in w for part in w.split("'"))
+    wordless = not body.isascii() and any(x in body for x in WORDLESS)
+    hits = [1 if (not told.isdisjoint(triggers) or wordless and cue is FOREIGN_REFUSAL) and cue.search(body) else None for cue, triggers in _CUES]
     any_hit = any(hits)
-    asked_words, rest = set(asked), 0
-    for s in sentences:
-        own = [w.lower() for w in _WORD.findall(s)]
-        if any_hit and (any(c.search(s) for c in cue) or APOLOGY.search(s) and len(own) <= 6):
+    sentences = [(s, own) for s in _SENTENCE.split(body) if s and (own := _WORD.findall(s))]
+    rest = 0
+    for s, own in sentences:
+        if any_hit and (any(hit and cue.search(s) for hit, (cue, _) in zip(hits, _CUES)) or APOLOGY.search(s) and len(own) <= 6):
+            continue
+        # A question answers nothing.
+        if "?" in s[-3:]:
             continue
         if known and len(set(own) - asked_words) <= max(1, len(own) // 5):
             continue
         rest += len(own)
-    out["refusal"] = [*hits, (1 if any_hit and rest <= 3 else 0), (1 if APOLOGY.search(body) and any_hit else None), 0 if rest >= 6 or not words or brief else None, int(any_hit)]
+    out["refusal"] = [*hits, (1 if any_hit and rest <= 3 else 0), (1 if any_hit and APOLOGY.search(body) else None), 0 if rest >= 6 or not words or brief else None]
 
     extra = [w for w in words if w not in asked_words]
     same = set(words) & asked_words
@@ -169,16 +213,15 @@ def votes(text: str | None, done_reason: str | None, question: str | None) -> di
     if not known or not words or brief:
         out["language"] = [None] * 4
     else:
-        theirs, evidence = _language(asked, _plain(question))
         own_words = left or words
         mine, sure = _language(own_words, body)
-        by_sentence: Counter[str | None] = Counter()
-        for s in sentences:
-            sw = [w.lower() for w in _WORD.findall(s)]
-            by_sentence[_language(sw, s)[0]] += max(len(sw), len(s) // 6)
-        by_sentence.pop(None, None)
-        main = by_sentence.most_common(1)[0][0] if by_sentence else None
-        home = sum(w in _BY_LANGUAGE.get(theirs, ()) for w in own_words) / len(own_words)
+        by_sentence: dict[str, int] = {}
+        for s, own in sentences:
+            if language := _language(own, s)[0]:
+                by_sentence[language] = by_sentence.get(language, 0) + max(len(own), len(s) // 6)
+        main = max(by_sentence, key=by_sentence.__getitem__) if by_sentence else None
+        at_home = _BY_LANGUAGE.get(theirs, frozenset())
+        home = sum(w in at_home for w in own_words) / len(own_words)
         foreign = _script(body)
         out["language"] = [
             None if not theirs or not mine or evidence < 1 or sure < 1 else int(mine != theirs),
@@ -193,12 +236,12 @@ def votes(text: str | None, done_reason: str | None, question: str | None) -> di
         kept = cut.rstrip()
     ends = bool(_END.search(kept)) or not words
     open_left = any(tail.count(a) > tail.count(b) for a, b in (("[", "]"), ("(", ")")))
-    last = re.split(r"\s", tail)[-1].lower() if tail else ""
+    last = tail.rsplit(None, 1)[-1] if tail.strip() else ""
     joiner = last.strip("\"'") in _LANGUAGES or last.endswith((",", "-", ";", "@", "["))
     spoilt = not words or placeholder or brief
     out["truncated"] = [
-        0 if spoilt else int(not ends), 0 if spoilt else int(not ends or open_left), None if spoilt or not open_left else 1,
-        None if spoilt else (1 if joiner and not ends else None), 1 if done_reason == "length" else (0 if done_reason == "stop" else None),
+        0 if spoilt else int(not ends), 0 if spoilt else int(tail[-1:].isalnum() or tail.endswith((",", ";", ":", "-", "[", "("))), 1 if open_left and not spoilt else None,
+        None if spoilt else (1 if joiner and not ends else None), 1 if done_reason == "length" else None,
     ]
     return out
 

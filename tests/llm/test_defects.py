@@ -66,3 +66,27 @@ def test_label_model_finds_the_reliable_functions():
 
 def test_very_long_answers_are_read_whole():
     assert defects.votes("The courier may block. " * 20_000 + "And then it", "stop", Q)["truncated"][0] == 1
+
+
+def test_edit_share_is_levenshteins():
+    import random
+
+    def slow(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1] / max(len(a), len(b))
+
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(1, 90))) for _ in range(2))
+        assert defects._edit_share(a, b) == slow(a, b)
+    assert defects._edit_share("", "x") == 1.0 and defects._edit_share("same", "same") == 0.0
+
+
+def test_a_name_is_no_refusal_and_an_echoed_question_no_answer():
+    refusal = lambda text, q: defects.votes(text, "stop", q)["refusal"]
+    assert not any(refusal("You cannot choose Rulanan again before scoring, but the lancer remains a legal target.", Q)[:5])
+    assert refusal("¿Puede el mensajero bloquear dos veces? Prefiero no opinar.", None)[5] == 1
