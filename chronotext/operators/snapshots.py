@@ -62,13 +62,15 @@ def similar_texts(texts: DataFrame, by: list[str], threshold: float) -> DataFram
     candidates are then counted exactly. Hashes and sequences move; texts don't.
     """
     key = [*by, "old", "hash"]
-    grams = texts.select(*key, F.explode("grams").alias("g"))
-    # What stands on one side only takes up its place but leads nowhere.
-    sides = grams.groupBy(*by, "g").agg(F.count(F.lit(1)).alias("df"), (F.max("old") & ~F.min("old")).alias("both"))
-    mark = F.struct("df", "g", "both")
-    ranked = grams.join(sides, [*by, "g"]).groupBy(*key).agg(F.sort_array(F.collect_list(mark)).alias("by_df"))
-    keep = F.size("by_df") - F.ceil(F.size("by_df") * F.lit(threshold)) + 1
-    heads = ranked.select(*key, F.explode(F.slice("by_df", 1, keep.cast("int"))).alias("x")).where("x.both").select(*key, "x.g")
+    grams = texts.select(*key, F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    # What stands on one side only leads nowhere; it comes first in the order, where it merely takes up its place.
+    common = grams.groupBy(*by, "g").agg(F.count(F.lit(1)).alias("df"), F.max("old").alias("in_old"), F.max(~F.col("old")).alias("in_new"))
+    common = common.where("in_old AND in_new").select(*by, "g", "df")
+    # Frequency and sequence in one number.
+    mark = F.shiftleft(F.least("df", F.lit((1 << 15) - 1)), 48).bitwiseOR(F.col("g").bitwiseAND((1 << 48) - 1))
+    ranked = grams.join(common, [*by, "g"]).groupBy(*key, "n").agg(F.sort_array(F.collect_list(mark)).alias("marks"))
+    keep = F.size("marks") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
+    heads = ranked.select(*key, F.explode(F.slice("marks", 1, F.greatest(F.lit(0), keep.cast("int")))).alias("g"))
     old = heads.where("old").select(*by, "g", F.col("hash").alias("old_hash"))
     new = heads.where("NOT old").select(*by, "g", F.col("hash").alias("new_hash"))
     candidates = old.join(new, [*by, "g"]).select(*by, "old_hash", "new_hash").distinct()

@@ -56,6 +56,12 @@ def test_words_and_shingles(spark):
     assert got[0].w == ["don't", "stop", "3x", "now"] and [got[i].n for i in (0, 1, 2, 4)] == [2, 1, 0, 0] and got[3].w is None
 
 
+def test_canonical_of_clean_and_odd_texts(spark):
+    cases = [("plain text", "plain text"), (" one blank ", "one blank"), ("a  b", "a b"), ("a\u00a0b", "a b"), ("a\u0085\u2003b\n", "a b"), ("it’s “so”", "it's \"so\""), ("", ""), ("\t", ""), (None, None)]
+    df = spark.createDataFrame(cases, "t string, want string")
+    assert [r.got for r in df.withColumn("got", tx.canonical(F.col("t"))).collect()] == [w for _, w in cases]
+
+
 def test_canonical_and_references(spark):
     r = one(spark, tx.canonical(F.lit(" a \n “b” ’c ")), tx.reference(F.lit("  CORE@1.3:419.4. ")), tx.unversioned(F.lit("core@1.3:419.4")), tx.number_key(F.lit("9.a.10")))
     assert tuple(r) == ("a \"b\" 'c", "core@1.3:419.4", "core:419.4", "0000000009.a.0000000010")
