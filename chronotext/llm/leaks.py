@@ -11,9 +11,7 @@ import math
 import re
 import unicodedata
 import uuid
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +20,8 @@ from pyspark.sql import functions as F
 RUN = 10
 #: Words of items in one automaton (some 100 MB at most); more items are scanned for in several passes.
 AUTOMATON_WORDS = 500_000
+#: Hyphens at line ends in ten words of an item that are read in every way.
+DENSE = 12
 
 # Tags that end a line or cell; all others stand inside the text.
 BLOCK = "br|p|div|li|ul|ol|td|th|tr|table|h[1-6]|hr|pre|blockquote|section|article|dd|dt"
@@ -56,13 +56,18 @@ def normalised(text: str) -> str:
     return text.lower() if text.isascii() and text.isprintable() else _fold(text)
 
 
-def word_lists(text: str | None) -> list[list[str]]:
-    """The words of a text; a second reading if it has hyphens at line ends, which may split a word or join two."""
-    if not text:
-        return []
-    plain = normalised(text)
-    joined = _SPLIT_WORD.sub("", plain)
-    return [_PLAIN.findall(joined)] + ([_PLAIN.findall(plain)] if joined != plain else [])
+def _marked(plain: str) -> tuple[list[str], list[tuple[int, int]], list[bool] | None]:
+    """The words of a normalised text, where they stand, and after which of them a hyphen at a line end follows (None: after none)."""
+    found = list(_PLAIN.finditer(plain))
+    words, places = [m.group() for m in found], [m.span() for m in found]
+    breaks = {m.span() for m in _SPLIT_WORD.finditer(plain)} if "\n" in plain or "\r" in plain else ()
+    return words, places, [(places[i][1], places[i + 1][0]) in breaks for i in range(len(words) - 1)] + [False] if breaks else None
+
+
+def words_of(text: str | None) -> tuple[list[str], list[bool] | None]:
+    """The words of a text, those that a hyphen at a line end parts for themselves, and after which of them such a hyphen follows: each may split a word or join two."""
+    words, _, parted = _marked(normalised(text)) if text else ([], [], None)
+    return words, parted
 
 
 def _replaced(pattern: re.Pattern, new: Callable[[str], str], text: str, at: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
@@ -93,37 +98,57 @@ def _folded_at(text: str, at: list[tuple[int, int]]) -> tuple[str, list[tuple[in
     return "".join(parts), places
 
 
-def word_lists_at(text: str) -> list[list[tuple[str, int, int]]]:
-    """``word_lists`` with the words' start and end in the original text."""
+def words_at(text: str) -> tuple[list[str], list[tuple[int, int]], list[bool] | None]:
+    """``words_of`` with the words' places in the original text."""
     plain, at = text, [(i, i + 1) for i in range(len(text))]
     plain, at = _replaced(_BLOCK_TAG, lambda _: " ", plain, at)
     plain, at = _replaced(_TAG, lambda _: "", plain, at)
     plain, at = _replaced(_ENTITY, html.unescape, plain, at)
     plain, at = _replaced(_SOFT_BREAK, lambda _: "", plain, at)
     plain, at = _folded_at(plain, at)
-    joined, joined_at = _replaced(_SPLIT_WORD, lambda _: "", plain, at)
-    readings = [(joined, joined_at)] + ([(plain, at)] if joined != plain else [])
-    return [[(m.group(), places[m.start()][0], places[m.end() - 1][1]) for m in _PLAIN.finditer(words)] for words, places in readings]
+    words, places, parted = _marked(plain)
+    return words, [(at[a][0], at[b - 1][1]) for a, b in places], parted
 
 
-def _uncovered(spans: set[tuple[int, int]], others: set[tuple[int, int]]) -> set[tuple[int, int]]:
-    """The spans that lie in none of the others."""
-    ordered = sorted(others)
-    starts, reach = [s for s, _ in ordered], list(accumulate((e for _, e in ordered), max))
-    return {(s, e) for s, e in spans if not (i := bisect_right(starts, s)) or reach[i - 1] < e}
+def _next_words(words: list[str], parted: list[bool], at: int) -> Iterator[tuple[str, int]]:
+    """What may be read as one word from ``at`` on, and where the next begins: hyphens at line ends may be passed over."""
+    word = words[at]
+    yield word, at + 1
+    while parted[at]:
+        at += 1
+        word += words[at]
+        yield word, at + 1
 
 
-def merged(first: set[tuple[int, int]], second: set[tuple[int, int]]) -> set[tuple[int, int]]:
-    """The spans of two readings: each once, what lies in a span of the other left out, what overlaps one of the other joined with it."""
-    second = _uncovered(second, first)
-    first = _uncovered(first, second)
-    out: list[tuple[int, int, int]] = []
-    for start, stop, reading in sorted([(*x, 0) for x in first] + [(*x, 1) for x in second]):
-        if out and start < out[-1][1] and reading != out[-1][2]:
-            out[-1] = (out[-1][0], stop, reading) if stop > out[-1][1] else out[-1]
-        else:
-            out.append((start, stop, reading))
-    return {(start, stop) for start, stop, _ in out}
+def _item_windows(words: list[str], parted: list[bool] | None, run: int) -> Iterator[tuple[str, ...]]:
+    """All windows of ``run`` words of an item, its own hyphens at line ends read either way, each for itself.
+
+    Where more than DENSE of them stand in ``run`` words, they all split words or all join them.
+    """
+    if parted is None:
+        yield from (tuple(words[i : i + run]) for i in range(len(words) - run + 1))
+        return
+    dense = any(sum(parted[i : i + run]) > DENSE for i in range(len(words)))
+    if dense:
+        yield from _item_windows(words, None, run)
+        yield from _item_windows(_joined(words, parted)[0], None, run)
+        return
+    for start in range(len(words)):
+        paths = [((), start)]
+        while paths:
+            path, at = paths.pop()
+            if len(path) == run:
+                yield path
+            elif at < len(words):
+                paths += [((*path, word), after) for word, after in _next_words(words, parted, at)]
+
+
+def _joined(words: list[str], parted: list[bool] | None) -> tuple[list[str], list[int]]:
+    """The reading in which all hyphens at line ends split words, and at which of ``words`` each of its words begins."""
+    if parted is None:
+        return words, list(range(len(words)))
+    begins = [i for i in range(len(words)) if not i or not parted[i - 1]]
+    return ["".join(words[a:b]) for a, b in zip(begins, [*begins[1:], len(words)])], begins
 
 
 class Windows:
@@ -134,10 +159,9 @@ class Windows:
 
         self.run, self.number, windows = run, {}, {}
         for item, text in items:
-            for words in word_lists(text):
-                codes = [self.number.setdefault(w, len(self.number) + 1) for w in words]
-                for i in range(len(codes) - run + 1):
-                    windows.setdefault(tuple(codes[i : i + run]), set()).add(item)
+            for window in _item_windows(*words_of(text), run):
+                codes = tuple(self.number.setdefault(w, len(self.number) + 1) for w in window)
+                windows.setdefault(codes, set()).add(item)
         self.items = [sorted(ids) for ids in windows.values()]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for i, window in enumerate(windows):
@@ -145,38 +169,57 @@ class Windows:
         if windows:
             self.automaton.make_automaton()
 
-    def hits(self, words: list[str]) -> Iterator[tuple[int, int]]:
-        """(item, index of the last word) of every window that occurs."""
-        if len(words) >= self.run and self.items:
-            for end, i in self.automaton.iter(tuple(self.number.get(w, 0) for w in words)):
-                for item in self.items[i]:
-                    yield item, end
+    def hits(self, words: list[str], parted: list[bool] | None) -> set[tuple[int, int, int, int]]:
+        """(item, first word, second word, word after the last) of every window that occurs in any reading of the hyphens at line ends.
+
+        The automaton scans the reading in which all of them split words. From the words that have such a hyphen close ahead or just behind them its tree is
+        followed along all other readings, as far as windows begin so.
+        """
+        found: set[tuple[int, int, int, int]] = set()
+        if not self.items or len(words) < self.run:
+            return found
+        joined, begins = _joined(words, parted)
+        begins = [*begins, len(words)]
+        if len(joined) >= self.run:
+            for end, i in self.automaton.iter(tuple(self.number.get(w, 0) for w in joined)):
+                start = end - self.run + 1
+                found.update((item, begins[start], begins[start + 1], begins[end + 1]) for item in self.items[i])
+        if parted:
+            near = {start for k, cut in enumerate(parted) if cut for start in range(max(0, k - self.run + 1), k + 2)}
+            for start in near:
+                paths = [((), start, start)]
+                while paths:
+                    path, second, at = paths.pop()
+                    for word, after in _next_words(words, parted, at) if at < len(words) else ():
+                        if code := self.number.get(word):
+                            longer = (*path, code)
+                            if len(longer) < self.run:
+                                if self.automaton.match(longer):
+                                    paths.append((longer, second if path else after, after))
+                            elif (i := self.automaton.get(longer, -1)) >= 0:
+                                found.update((item, start, second if path else after, after) for item in self.items[i])
+        return found
 
     def found(self, text: str | None) -> set[int]:
-        return {item for words in word_lists(text) for item, _ in self.hits(words)}
+        return {hit[0] for hit in self.hits(*words_of(text))}
 
     def spans(self, text: str | None) -> set[tuple[int, int, int]]:
-        """(item, start, end) of the longest stretches of overlapping windows, as places in the original text; both readings count."""
-        readings = [self._stretches(words) for words in word_lists_at(text)] if text else []
-        if len(readings) < 2:
-            return {(item, *span) for held in readings for item, spans in held.items() for span in spans}
-        first, second = readings
-        return {(item, *span) for item in first.keys() | second.keys() for span in merged(first.get(item, set()), second.get(item, set()))}
-
-    def _stretches(self, words: list[tuple[str, int, int]]) -> dict[int, set[tuple[int, int]]]:
-        out: dict[int, set[tuple[int, int]]] = {}
-        last: dict[int, list[int]] = {}
-        for item, end in self.hits([w for w, _, _ in words]):
-            span = last.get(item)
-            if span and end == span[1] + 1:
-                span[1] = end
+        """(item, start, end) of the longest stretches of windows that follow word by word, as places in the original text."""
+        if not text:
+            return set()
+        words, places, parted = words_at(text)
+        out: list[tuple[int, int, int]] = []
+        last: tuple[int, int] | None = None
+        follows: set[int] = set()
+        for item, first, second, after in sorted(self.hits(words, parted)):
+            if last and last[0] == item and (first in follows or first == last[1]):
+                follows = {second} if first != last[1] else follows | {second}
+                out[-1] = (item, out[-1][1], max(out[-1][2], after))
             else:
-                if span:
-                    out.setdefault(item, set()).add((words[span[0]][1], words[span[1]][2]))
-                last[item] = [end - self.run + 1, end]
-        for item, (a, b) in last.items():
-            out.setdefault(item, set()).add((words[a][1], words[b][2]))
-        return out
+                out.append((item, first, after))
+                follows = {second}
+            last = (item, first)
+        return {(item, places[a][0], places[b - 1][1]) for item, a, b in out}
 
 
 _windows: dict[str, Windows] = {}
@@ -217,7 +260,7 @@ def _scan(documents: DataFrame, items: DataFrame, run: int, places: bool) -> Dat
 def leaks(documents: DataFrame, items: DataFrame, *, doc_id: Column, text: Column, item_id: Column, item_text: Column, run: int = RUN) -> DataFrame:
     """``doc_id``, ``item_id``: documents that hold at least ``run`` consecutive words of an item.
 
-    Null and blank texts and items of fewer words match nothing; an item entered twice counts under both ids, repeated
+    Each hyphen at a line end may split a word or join two, whatever the others do. Null and blank texts and items of fewer words match nothing; an item entered twice counts under both ids, repeated
     rows once; empty tables give no rows. The items are sent to the workers in parts of bounded size, one pass over the
     corpus for each part.
     """

@@ -59,7 +59,39 @@ def test_places_of_a_compound_wrapped_at_its_hyphen(spark):
     assert [docs[d][1][a:b] for d, _, a, b in spans] == [wrapped, short, both, shy, kana, wrapped, ITEM, COMPOUND]
 
 
-def test_spans_of_two_readings():
-    assert leaks.merged({(0, 9), (12, 30)}, {(0, 30)}) == {(0, 30)}
-    assert leaks.merged({(0, 10), (6, 15)}, {(0, 10), (6, 15)}) == {(0, 10), (6, 15)}
-    assert leaks.merged({(0, 10), (20, 30)}, {(8, 22), (40, 50)}) == {(0, 30), (40, 50)}
+def test_each_hyphen_is_read_for_itself(spark):
+    mixed = COMPOUND.replace("well-", "well-\n").replace("northern", "nor-\nthern").replace("toll", "to-\nll")
+    chain = COMPOUND.replace("northern", "n-\no-\nr-\nt-\nh-\ne-\nr-\nn")
+    docs = [(0, mixed), (1, "x-\ny " + mixed + " z-\nw"), (2, " ".join(mixed.split(" ")[:8])), (3, chain), (4, "-\n" + COMPOUND.replace("a well", "a-\nwell"))]
+    items = [(1, COMPOUND), (2, COMPOUND.replace("northern", "nor-\nthern"))]
+    spans = run(spark, docs, items, leaks.leak_spans)
+    assert sorted({(d, i) for d, i, _, _ in spans}) == run(spark, docs, items)
+    assert run(spark, docs, items[:1]) == [(0, 1), (1, 1), (3, 1), (4, 1)]
+    texts = dict(docs)
+    assert [texts[d][a:b] for d, i, a, b in spans if i == 1 and d < 2] == [mixed, mixed]
+
+
+def brute(item, text, run=10):
+    """Every reading of every hyphen at a line end."""
+    def readings(t):
+        parts = re.split(r"(?<=[a-z])-\n(?=[a-z])", t)
+        out = [parts[0]]
+        for part in parts[1:]:
+            out = [o + j + part for o in out for j in ("", " ")]
+        return [re.findall("[a-z]+", o) for o in out]
+    windows = lambda t: {tuple(w[i : i + run]) for w in readings(t) for i in range(len(w) - run + 1)}
+    return bool(windows(item) & windows(text))
+
+
+def test_readings_against_brute_force():
+    import random
+
+    rng = random.Random(8)
+    names = "ab cd ef gh".split()
+    for _ in range(300):
+        item = "".join(rng.choice(names) + rng.choice([" ", " ", " ", "-\n"]) for _ in range(rng.randrange(4, 9))).strip("-\n ")
+        text = "".join(rng.choice(names) + rng.choice([" ", " ", "-\n"]) for _ in range(rng.randrange(4, 11))).strip("-\n ")
+        text = text + " " + item.replace(" ", rng.choice([" ", "-\n"]), 1) if rng.random() < 0.5 else text
+        windows = leaks.Windows([(1, item)], 4)
+        assert (windows.found(text) == {1}) == brute(item, text, 4), (item, text)
+        assert {i for i, _, _ in windows.spans(text)} == windows.found(text)
