@@ -52,9 +52,11 @@ _LOOKALIKES = str.maketrans(LOOKALIKES)
 _STANDIN = re.compile("[0134578$@€!|](?=[a-z])|(?<=[a-z])[0134578$@€]")
 # A line break ends a sentence only before an empty line, a list item, a heading, a quotation or a table row; others are layout.
 _SPLIT = re.compile(r"(?<=[.!?\u2026])[\"\u201d\u2019)*_]*\s+|\n\s*\n|\n(?=\s*(?:[-*#>|{}]|\d+[.)]\s))|(?<=[\u3002\uff01\uff1f])")
+# The same for plain ASCII, where the mark that ends a sentence may go with the break: marks are dropped later anyway.
+_PLAIN_SPLIT = re.compile(r"[.!?\n](?:(?<=[.!?])[\")*_]*\s+|(?<=\n)(?:\s*\n|(?=\s*(?:[-*#>|{}]|\d+[.)]\s))))")
 _UNSEEN = re.compile("[\u00ad\u034f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\u0300-\u036f\x00-\x08\x0e-\x1f\x7f]")
 _LINE_TAG, _TAG = re.compile(r"</?(?:p|br|div|li|tr|td|h[1-6])\b[^<>]*>", re.I), re.compile(r"</?[A-Za-z][^<>]*>")
-_NUMBER, _MARKS = re.compile(r"\d+"), re.compile(r"[^\w#* ]+")
+_NUMBER, _MARKS, _LINE_MARKS = re.compile(r"\d+"), re.compile(r"[^\w#* ]+"), re.compile(r"[^\w#* \n]+")
 _LATIN, _SPACED = re.compile("[a-z]"), re.compile(r"(?<=\b\w)[.\-_*](?=\w\b)")
 
 
@@ -72,47 +74,76 @@ def tidy(sentence: str) -> str:
     return f" {' '.join(_MARKS.sub('', text).split())} "
 
 
+def _plain_sentences(text: str) -> list[str]:
+    """``tidy`` for all sentences of an ASCII text at once."""
+    lines = "\n".join([" ".join(x.split()) for x in _PLAIN_SPLIT.split(text)]).lower()
+    if not lines.replace("\n", "").isprintable():
+        lines = _UNSEEN.sub("", lines)
+    while (clean := _STANDIN.sub(lambda m: STANDINS[m.group()], lines)) != lines:
+        lines = clean
+    lines = _LINE_MARKS.sub("", _SPACED.sub("", _NUMBER.sub("#", lines)))
+    return [f" {' '.join(x.split())} " for x in lines.split("\n")]
+
+
 def passages(text: str | None) -> list[str]:
     """The distinct sentences of a text, long ones in overlapping windows."""
     found: dict[str, None] = {}
-    for sentence in _SPLIT.split(html.unescape(_TAG.sub("", _LINE_TAG.sub("\n", text))) if text else ""):
-        if sentence and not sentence.isspace():
-            words = (clean := tidy(sentence)).split()
+    if not text:
+        return []
+    if "<" in text:
+        text = _TAG.sub("", _LINE_TAG.sub("\n", text))
+    if "&" in text:
+        text = html.unescape(text)
+    for clean in _plain_sentences(text) if text.isascii() else [tidy(x) for x in _SPLIT.split(text) if x and not x.isspace()]:
+        if clean.count(" ") > LONG:
+            words = clean.split()
             if len(words) > LONG:
                 for i in range(0, len(words) - WINDOW // 2, WINDOW // 2):
                     found[f" {' '.join(words[i : i + WINDOW])} "] = None
-            elif words:
-                found[clean] = None
+                continue
+        if not clean.isspace():
+            found[clean] = None
     return list(found)
 
 
-_OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+#: Texts that ``features`` reads at a time: their numbers, hashes and gaps fit in 32 bits.
+MOST_TEXTS = 1 << 14
+#: Passages that are scored at a time.
+PIECE = 1_000
+_ODD = np.random.default_rng(SEED).integers(1, 2**31, 5, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_DECAYS = (DECAY ** np.arange(8)).astype(np.float32)
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed subsequences of each text: (text number, hash, weight), sorted; the weights of a text have norm 1."""
+def _subsequences(texts: list[str]) -> np.ndarray:
+    """A sorted number for each subsequence of up to MOST_TEXTS texts: the text's number, HASH_BITS of hash, and three bits for its gaps."""
     gap = "\0" * SPAN
     codes = np.frombuffer((gap.join(texts) + gap).encode("utf-32-le"), np.uint32)
-    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) + SPAN for t in texts])
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint32) << np.uint32(HASH_BITS + 3), [len(t) + SPAN for t in texts])
     real = codes > 0
-    rng = np.random.default_rng(SEED)
     mixed = []
-    for odd in rng.integers(1, 2**63, 3, dtype=np.uint64) | np.uint64(1):
-        h = (codes.astype(np.uint64) + np.uint64(1)) * odd
-        mixed.append((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9))
+    for odd in _ODD[:3]:
+        h = (codes + np.uint32(1)) * odd
+        mixed.append((h ^ (h >> np.uint32(15))) * _ODD[3])
     keys = []
-    for a, b in _OFFSETS:
-        n = len(codes) - b
-        h = mixed[0][:n] + mixed[1][a : a + n] + mixed[2][b : b + n]
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        ok = real[:n] & real[a : a + n] & real[b : b + n]
-        key = (((owner[:n] << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS))) << np.uint64(3)) | np.uint64(b - 2)
-        keys.append(key[ok])
-    key = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
+    # The zeros between two texts are more than a subsequence spans, so its ends are in one text if they are characters.
+    for b in range(2, SPAN):
+        n = max(len(codes) - b, 0)
+        at = np.flatnonzero(real[:n] & real[b : b + n])
+        ends, own = mixed[0][at] + mixed[2][at + b], owner[at] | np.uint32(b - 2)
+        for a in range(1, b):
+            h = (ends + mixed[1][at + a]) * _ODD[4]
+            h ^= h >> np.uint32(16)
+            keys.append(own | ((h * _ODD[3]) >> np.uint32(32 - HASH_BITS)) << np.uint32(3))
+    return np.sort(np.concatenate(keys))
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed subsequences of up to MOST_TEXTS texts: (text number, hash, weight), sorted; the weights of a text have norm 1."""
+    key = _subsequences(texts)
     if not len(key):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-    weight = DECAY ** (key & np.uint64(7)).astype(np.float32)
-    key >>= np.uint64(3)
+    weight = _DECAYS[key & np.uint32(7)]
+    key >>= np.uint32(3)
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     weight, key = np.add.reduceat(weight, first), key[first].astype(np.int64)
     text, bucket = key >> HASH_BITS, key & (2**HASH_BITS - 1)
@@ -120,6 +151,34 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, bucket, (weight / norm[text]).astype(np.float32)
 
 
+def weighted(texts: list[str], weights: np.ndarray) -> np.ndarray:
+    """The sum of ``weights[hash] * weight`` over the ``features`` of each text (0 without any), without making these one by one.
+
+    Before the norm a text's sum is linear in its subsequences, so they need no grouping by hash; the norm takes the sums of groups as
+    differences of running sums.
+    """
+    out = np.zeros(len(texts))
+    # By hash and gaps at once.
+    table = (weights[:, None] * _DECAYS[None, :]).ravel()
+    for at in range(0, len(texts), MOST_TEXTS):
+        key = _subsequences(texts[at : at + MOST_TEXTS])
+        if not len(key):
+            continue
+        edges = np.searchsorted(key, np.arange(len(texts[at : at + MOST_TEXTS]) + 1, dtype=np.uint64) << np.uint64(HASH_BITS + 3))
+        some = np.flatnonzero(edges[1:] > edges[:-1])
+        start = edges[some]
+        total = np.add.reduceat(table[key & np.uint32(2 ** (HASH_BITS + 3) - 1)], start, dtype=np.float64)
+        running = np.cumsum(_DECAYS[(key & np.uint32(7)).view(np.int32)], dtype=np.float64)
+        key >>= np.uint32(3)
+        ends = np.ones(len(key), bool)
+        np.not_equal(key[1:], key[:-1], out=ends[:-1])
+        last = np.flatnonzero(ends)
+        groups = np.diff(running[last], prepend=0.0)
+        groups *= groups
+        out[at + some] = total / np.sqrt(np.add.reduceat(groups, np.searchsorted(last, start)))
+    return out
+
+
 def dense(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), 2**HASH_BITS), np.float32)
     text, bucket, weight = features(texts)
@@ -128,13 +187,21 @@ def dense(texts: list[str]) -> np.ndarray:
 
 
 def kernel_rows(texts: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel values of texts with landmarks; ``landmarks`` is (2 ** HASH_BITS, number)."""
-    out = np.zeros((len(texts), landmarks.shape[1]), np.float32)
-    for at in range(0, len(texts), 40):
-        text, bucket, weight = features(texts[at : at + 40])
-        if len(text):
-            first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-            out[at + text[first]] = np.add.reduceat(landmarks[bucket] * weight[:, None], first)
+    """Kernel values of texts with landmarks; ``landmarks`` is (2 ** HASH_BITS, number), few of its values not 0."""
+    number = landmarks.shape[1]
+    bucket_of, column = np.nonzero(landmarks)
+    value = landmarks[bucket_of, column]
+    begin = np.searchsorted(bucket_of, np.arange(len(landmarks) + 1))
+    out = np.zeros((len(texts), number), np.float32)
+    for at in range(0, len(texts), 200):
+        some = texts[at : at + 200]
+        text, bucket, weight = features(some)
+        # Each subsequence meets the landmarks that have it too.
+        times = begin[bucket + 1] - begin[bucket]
+        each = np.repeat(np.arange(len(bucket)), times)
+        place = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times) + begin[bucket][each]
+        met = np.bincount(text[each] * number + column[place], weight[each] * value[place], len(some) * number)
+        out[at : at + len(some)] = met.reshape(len(some), number)
     return out
 
 
@@ -275,10 +342,11 @@ def machine_of(documents: DataFrame, marks: DataFrame) -> tuple[Model, Held]:
     rows = materialize(labelled(documents, marks)).withColumn("h", F.xxhash64("doc_id", "passage"))
     chosen = materialize(drawn(rows))
     sample = materialize(rows.join(F.broadcast(chosen.where("used").select("doc_id", "held")), "doc_id").repartition(12, "h"))
-    pool = sample.where("bad > 0").orderBy("h", "passage").limit(LANDMARK_POOL - LANDMARK_POOL // 3).unionByName(
-        sample.where("bad < 0").orderBy("h", "passage").limit(LANDMARK_POOL // 3)
-    )
-    texts = [r.passage for r in pool.select("passage").collect()]
+    # Hashes are sorted, not passages; these follow for the hashes that are first.
+    first_of = lambda kind, most: sample.where(kind).select("h").distinct().orderBy("h").limit(most)
+    pool = first_of("bad > 0", LANDMARK_POOL - LANDMARK_POOL // 3).unionByName(first_of("bad < 0", LANDMARK_POOL // 3))
+    drawn_rows = sample.select("h", "bad", "passage").join(F.broadcast(pool), "h", "left_semi").distinct().collect()
+    texts = [r.passage for r in sorted(drawn_rows, key=lambda r: (-r.bad, r.h, r.passage))]
     if not texts:
         return NEVER, NONE_HELD
     points = dense(texts)
@@ -334,10 +402,8 @@ def worst(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         for batch in batches:
-            texts, sums = batch.column("passage").to_pylist(), []
-            for at in range(0, len(texts), 500):
-                of, bucket, weight = features(texts[at : at + 500])
-                sums.append(np.bincount(of, weights[bucket] * weight, len(texts[at : at + 500])))
+            texts = batch.column("passage").to_pylist()
+            sums = [weighted(texts[at : at + PIECE], weights) for at in range(0, len(texts), PIECE)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.concatenate([*sums, np.empty(0)]) + bias)], ["doc_id", "bad", "s"])
 
     scores = rows.select("doc_id", "bad", "passage").mapInArrow(run, "doc_id bigint, bad int, s double")
@@ -365,8 +431,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                     owner.append(i)
                     size += len(p)
                 if held and (size > 60_000 or i == len(texts)):
-                    of, bucket, weight = features(held)
-                    np.maximum.at(worst, np.array(owner), np.bincount(of, weights[bucket] * weight, len(held)) + bias)
+                    np.maximum.at(worst, np.array(owner), weighted(held, weights) + bias)
                     held, owner, size = [], [], 0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(worst)], ["doc_id", "source", "score"])
 

@@ -96,3 +96,21 @@ def test_marked_documents_keep_all_their_passages(spark, monkeypatch):
     assert min(c.min() for c in seen) >= min(len(toxicity.passages(x[1])) for x in docs) > 1 and seen[0].sum() < 150
     raw, held = toxicity.machine_of(d, m)
     assert len(held.best) > 120 - 2 * 60 // 3 and 0 < held.bad.sum() < len(held.best)
+
+
+def test_scores_by_running_sums_are_those_of_the_features():
+    docs, _ = corpus(40)
+    texts = sorted({p for d in docs for p in toxicity.passages(d[1])}) + ["", " ", "ab", "a" * 3_000]
+    weights = np.random.default_rng(4).normal(size=2**toxicity.HASH_BITS).astype(np.float32)
+    text, bucket, weight = toxicity.features(texts)
+    assert np.allclose(toxicity.weighted(texts, weights), np.bincount(text, weights[bucket] * weight, len(texts)), atol=1e-5)
+    assert toxicity.weighted([], weights).tolist() == []
+
+
+def test_ascii_texts_are_split_as_all_others_are():
+    cases = ["One. Two! Three?", "a line\nbroken here. Next", "list:\n- one\n* two\n3) three", 'He said "no." Then left.', "gap\n\nafter", "wait... what?! yes", "s.h.i.t happens", "tab\there\x01now 12.5 w0rd", "", " \n ", "x" * 10 + " y" * 60]
+    for text in cases:
+        slow = [toxicity.tidy(x) for x in toxicity._SPLIT.split(text) if x and not x.isspace()]
+        slow = [x for x in slow if not x.isspace()]
+        if all(len(x.split()) <= toxicity.LONG for x in slow):
+            assert toxicity.passages(text) == list(dict.fromkeys(slow)), text
