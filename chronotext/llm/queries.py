@@ -92,6 +92,16 @@ p AS (SELECT a.rule_id AS a, b.rule_id AS b, count(*) AS c FROM g a JOIN g b USI
 SELECT a AS rule_a, b AS rule_b FROM p JOIN n x ON x.rule_id = a JOIN n y ON y.rule_id = b WHERE c / (x.n + y.n - c) >= 0.5
 """
 
+P1_CLASSES_SQL = f"""
+WITH t AS (SELECT DISTINCT rule_id, number, text FROM rules WHERE text IS NOT NULL AND rule_id IS NOT NULL),
+s AS (SELECT rule_id, CASE WHEN lower(regexp_extract(text, '{_HEAD}', 1)) = lower(trim(number)) THEN regexp_replace(text, '{_HEAD}', '') ELSE text END AS x FROM t),
+w AS (SELECT rule_id, regexp_extract_all(lower(replace(replace(x, chr(8216), chr(39)), chr(8217), chr(39))), '[a-z0-9' || chr(39) || ']+') AS w FROM s),
+e AS (SELECT rule_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS set FROM w WHERE len(w) >= 12),
+k AS (SELECT set, min(rule_id) AS class_id, row_number() OVER () AS c FROM e GROUP BY set), g AS (SELECT c, len(set) AS n, unnest(set) AS g FROM k),
+p AS (SELECT a.c AS a, b.c AS b FROM g a JOIN g b USING (g) WHERE a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.5)
+SELECT DISTINCT e.rule_id, class_id, (SELECT count(*) FROM p WHERE p.a = k.c) AS links FROM e JOIN k USING (set)
+"""
+
 P3_SQL = """
 WITH u AS (SELECT DISTINCT ON (content_hash, model_digest, prefix) content_hash AS h, model_digest AS m, prefix AS p, CAST(embedding AS DOUBLE[]) AS v FROM embedding_cache
   WHERE content_hash IS NOT NULL AND model_digest IS NOT NULL AND prefix IS NOT NULL AND len(embedding) = 64
@@ -104,4 +114,4 @@ SELECT DISTINCT m AS model_digest, p AS prefix, least(x, y) AS hash_a, greatest(
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_classes, p2_found, p2_labels, p3_found, p6_ids, p7_found, p7_spans, p8_found, p8_scores, p8_rates,
 )}
-SQL = {"p1_found": P1_SQL, "p3_found": P3_SQL}
+SQL = {"p1_found": P1_SQL, "p1_classes": P1_CLASSES_SQL, "p3_found": P3_SQL}

@@ -113,8 +113,9 @@ class PairIndexEncoder:
             new = list({w for words in cut for w in words})
         known = dict(zip(new, self.encode(new)))
         self.cache.update((w, ids) for w, ids in known.items() if len(w) <= CACHE_BYTES)
-        known_or_cached = self.cache | known if any(len(w) > CACHE_BYTES for w in new) else self.cache
-        return [[known_or_cached[w] for w in words] for words in cut]
+        # Long words are not kept beyond this call; the ids of no word are empty.
+        kept = self.cache.get
+        return [[kept(w) or known[w] for w in words] for words in cut]
 
 
 _encoders: dict[int, PairIndexEncoder] = {}
