@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotext.functions.text import words
-from chronotext.operators import answers, drift, evaluate, retrieval, temporal
+from chronotext.operators import answers, drift, evaluate, retrieval, stats, temporal
 from chronotext.plans.core import P4_SQL, p4_found
 from chronotext.plans.registry import AS_OF, MODEL, OTHER_MODEL, OTHER_PREFIX, P_SQL, PREFIX, WORDS_SQL, Register, c, passages, table, wilson_sql
 
@@ -408,3 +408,28 @@ def injection_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = answers.injection_grid(rows.select("candidate_id", "question", F.array(F.struct(c("ref").alias("source_ref"), "text")).alias("blocks")))
     prompt = answers.defended_prompt(c("question"), answers.planted(c("blocks"), c("attack")), c("defence"))
     return grid.select("candidate_id", "attack", "defence", F.sha2(prompt, 256).alias("prompt_sha256"))
+
+
+@query()
+def confidence_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the nine signals foretell, out of fold, that an answer ended by itself: calibration of the logistic scores."""
+    rows = _signals(spark, sf_dir).where("done_reason IS NOT NULL").withColumn("y", (c("done_reason") == "stop").cast("int"))
+    scored = stats.out_of_fold(rows, "gen_id", answers.SIGNALS, "y")
+    return stats.calibration(scored, "gen_id", "probability", "y")
+
+
+_SAVED = {"weights": {"margin": -0.4, "cites_any": 0.9, "abstains": -1.1, "log_answer_tokens": 0.3}, "mean": {"margin": 0.1, "cites_any": 0.5, "abstains": 0.05, "log_answer_tokens": 3.5}, "std": {"margin": 0.2, "cites_any": 0.5, "abstains": 0.2, "log_answer_tokens": 0.6}}
+
+
+@query(rf"""
+WITH g AS (SELECT DISTINCT ON (gen_id) * FROM generations WHERE text IS NOT NULL AND answer_tokens IS NOT NULL),
+x AS (SELECT gen_id, (len(regexp_extract_all(text, 'core@\d+\.\d+:\d{{3}}(?:\.[0-9a-z]+)*')) > 0)::INT AS a, {_ABSTAINS}::INT AS b, ln(1 + answer_tokens) AS c FROM g)
+SELECT gen_id, round(1 / (1 + exp(-(0.2 + 0.9 * (a - 0.5) / 0.5 - 1.1 * (b - 0.05) / 0.2 + 0.3 * (c - 3.5) / 0.6))), 6) AS probability FROM x""")
+def saved_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every answer scored by saved weights of signals that its text tells by itself."""
+    rows = table(spark, sf_dir, "generations").dropDuplicates(["gen_id"]).where("text IS NOT NULL AND answer_tokens IS NOT NULL")
+    none = F.array().cast("array<string>")
+    told = rows.select("gen_id", *answers.signals(c("text"), c("answer_tokens"), none, none, F.array().cast("array<double>"), lambda edition: F.lit(False)))
+    names = ("cites_any", "abstains", "log_answer_tokens")
+    score = stats.predicted({n: _SAVED["weights"][n] for n in names}, 0.2, _SAVED["mean"], _SAVED["std"])
+    return told.select("gen_id", F.round(score, 6).alias("probability"))
