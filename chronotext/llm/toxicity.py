@@ -187,21 +187,13 @@ def dense(texts: list[str]) -> np.ndarray:
 
 
 def kernel_rows(texts: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel values of texts with landmarks; ``landmarks`` is (2 ** HASH_BITS, number), few of its values not 0."""
-    number = landmarks.shape[1]
-    bucket_of, column = np.nonzero(landmarks)
-    value = landmarks[bucket_of, column]
-    begin = np.searchsorted(bucket_of, np.arange(len(landmarks) + 1))
-    out = np.zeros((len(texts), number), np.float32)
-    for at in range(0, len(texts), 200):
-        some = texts[at : at + 200]
-        text, bucket, weight = features(some)
-        # Each subsequence meets the landmarks that have it too.
-        times = begin[bucket + 1] - begin[bucket]
-        each = np.repeat(np.arange(len(bucket)), times)
-        place = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times) + begin[bucket][each]
-        met = np.bincount(text[each] * number + column[place], weight[each] * value[place], len(some) * number)
-        out[at : at + len(some)] = met.reshape(len(some), number)
+    """Kernel values of texts with landmarks; ``landmarks`` is (2 ** HASH_BITS, number)."""
+    out = np.zeros((len(texts), landmarks.shape[1]), np.float32)
+    for at in range(0, len(texts), PIECE):
+        text, bucket, weight = features(texts[at : at + PIECE])
+        edges = np.searchsorted(text, np.arange(len(texts[at : at + PIECE]) + 1))
+        for i, (start, stop) in enumerate(zip(edges[:-1], edges[1:])):
+            out[at + i] = weight[start:stop] @ landmarks[bucket[start:stop]]
     return out
 
 
