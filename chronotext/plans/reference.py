@@ -308,13 +308,6 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- parsing --------------------------------------------------------------------------------------------------------------------
 
 
-@query()
-def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of the rules, rendered as text, parsed into numbered rows again."""
-    pages = parse.chunks(table(spark, sf_dir, "rules"), "document_id").withColumn("page", F.concat_ws("/", "document_id", "source_ref", "part"))
-    return parse.parse_rules(pages, "page", "text")
-
-
 _COUNT = lambda line: f"len(regexp_split_to_array(trim({line}, ' '), '\\s+'))"
 
 
@@ -333,6 +326,15 @@ cx AS (SELECT document_id, source_ref, part, CASE WHEN hn IS NULL THEN ns ELSE l
 ch AS (SELECT *, {_COUNT('text')}::INT AS tokens FROM cx)"""
 
 
+@query(f"""WITH {_chunks_sql(parse.CHUNK_TOKENS)}, pg AS (SELECT document_id || '/' || source_ref || '/' || part AS page, hn, ht, ns, list(text ORDER BY i) AS ts FROM ct JOIN fo USING (document_id, source_ref, part) JOIN (SELECT document_id, source_ref, i, line AS text FROM mb) USING (document_id, source_ref, i) GROUP BY ALL),
+al AS (SELECT page, unnest(CASE WHEN hn IS NULL THEN ns ELSE list_prepend(hn, ns) END) AS number, unnest(CASE WHEN ht IS NULL THEN ts ELSE list_prepend(ht, ts) END) AS line, unnest(range(0, len(ns) + CASE WHEN hn IS NULL THEN 0 ELSE 1 END))::INT AS place FROM pg)
+SELECT page, place, number, trim(regexp_replace(line[len(number) + 2:], '[\\s\\x0b\\x{{85}}\\pZ]+', ' ', 'g'), ' ') AS text FROM al""")
+def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the rules, rendered as text, parsed into numbered rows again."""
+    pages = parse.chunks(table(spark, sf_dir, "rules"), "document_id").withColumn("page", F.concat_ws("/", "document_id", "source_ref", "part"))
+    return parse.parse_rules(pages, "page", "text")
+
+
 @query(f"WITH {_chunks_sql(60)} SELECT document_id, source_ref, part, array_to_string(refs, ' ') AS refs, tokens, sha256(text) AS text_sha256 FROM ch")
 def chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules of every edition in chunks of at most 60 words."""
