@@ -280,6 +280,12 @@ def changed_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("document_id", "old_number", "new_number", "flips", align.word_diff(c("old_text"), c("new_text")).alias("diff"))
 
 
+@query(f"{_CHANGES} SELECT document_id, new_number AS number, old_number, regexp_replace(old_text, '{XREF_SQL}', 'rule #', 'g') = regexp_replace(new_text, '{XREF_SQL}', 'rule #', 'g') AS same_text FROM changes WHERE old_text IS NOT NULL AND new_text IS NOT NULL")
+def counterparts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rule's counterpart in the edition before, and whether it says the same."""
+    return align.counterparts(_changes(spark, sf_dir), ["document_id"])
+
+
 @query(f"{_CHANGES} SELECT * FROM (SELECT document_id, old_number, new_number, flips, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY document_id ORDER BY flips DESC, similarity, {number_sql('old_number')}, old_number) AS rank FROM changes WHERE status = 'changed') WHERE rank <= 20")
 def top_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty changes of each edition that most likely turn a meaning (a top-k report)."""
@@ -498,13 +504,35 @@ def rule_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.rule_history(align.align(old, new, ["doc", "edition"]), "doc", "edition")
 
 
+@query(f"""{_HISTORY}, hs AS (SELECT number, CASE WHEN known = 0 THEN 'new' WHEN same = 1 THEN 'stable' ELSE 'changed' END AS status FROM jd WHERE doc = 'core'),
+la2 AS (SELECT array_to_string(max(v), '.') AS latest FROM rv WHERE doc = 'core'), q AS (SELECT DISTINCT ON (ruling_id) ruling_id, faq_backed, rule_numbers FROM rulings WHERE question IS NOT NULL),
+u AS (SELECT ruling_id, unnest(rule_numbers) AS n, generate_subscripts(rule_numbers, 1) AS i FROM q), j AS (SELECT ruling_id, i, n, coalesce(status, 'unknown') AS status FROM u LEFT JOIN hs ON hs.number = n),
+a AS (SELECT ruling_id, string_agg('core@' || latest || ':' || n, ' ' ORDER BY i) AS expect, string_agg(status, ' ' ORDER BY i) AS statuses, bool_or(status = 'changed') AS stale FROM j, la2 GROUP BY ruling_id)
+SELECT ruling_id, CASE WHEN faq_backed THEN 'expert-ruling-faq' ELSE 'expert-ruling' END AS stratum, coalesce(expect, '') AS expect, coalesce(statuses, '') AS statuses, coalesce(stale, false) AS stale_text_exists FROM q LEFT JOIN a USING (ruling_id)""")
+def ruling_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rulings as questions: what they expect of the latest edition, what became of each rule that they cite, and whether older wordings could mislead."""
+    asked = table(spark, sf_dir, "rulings").where("question IS NOT NULL").dropDuplicates(["ruling_id"]).select("ruling_id", "faq_backed", "rule_numbers")
+    version = F.substring_index("document_id", "@", -1)
+    latest = table(spark, sf_dir, "rules").where("number IS NOT NULL AND text IS NOT NULL AND document_id LIKE 'core@%'").agg(F.array_join(F.max(temporal.version_key(version)).cast("array<string>"), ".").alias("v")).scalar()
+    history = rule_history(spark, sf_dir).where("doc = 'core'").select(c("number").alias("n"), "status")
+    each = asked.select("ruling_id", F.posexplode("rule_numbers").alias("i", "n")).join(history, "n", "left")
+    one = F.struct("i", F.concat(F.lit("core@"), c("v"), F.lit(":"), c("n")).alias("ref"), F.coalesce("status", F.lit("unknown")).alias("status"))
+    cited = each.withColumn("v", latest).groupBy("ruling_id").agg(F.array_sort(F.collect_list(one)).alias("cited"))
+    rows = asked.join(cited, "ruling_id", "left")
+    listed = lambda field: F.coalesce(F.array_join(F.transform("cited", lambda x: x[field]), " "), F.lit(""))
+    return rows.select(
+        "ruling_id", F.when(c("faq_backed"), "expert-ruling-faq").otherwise("expert-ruling").alias("stratum"), listed("ref").alias("expect"), listed("status").alias("statuses"),
+        F.coalesce(F.exists("cited", lambda x: x["status"] == "changed"), F.lit(False)).alias("stale_text_exists"),
+    )
+
+
 # --- streams (extension) and plain relational work --------------------------------------------------------------------------------
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts and sums from a stream of events, drained once."""
-    rows = updates.run_once(updates.hourly(updates.source(spark, f"{sf_dir}/events.parquet"), "ts", ["event_type"], "value", "3650 days"), "complete")
+    rows = updates.run_once(updates.hourly(updates.source(spark, f"{sf_dir}/events.parquet"), "ts", ["event_type"], "value", "1 day"), "complete")
     return rows.select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

@@ -158,6 +158,18 @@ def rerank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rerank(rows, score, "q", "passage_id", 5).select("q", "passage_id", "rank")
 
 
+@query(f"""
+WITH {P_SQL}, {_cache_sql('x')}, {_vector_sql('a', True)}, t AS (SELECT q, string_agg('[' || ref || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS body, count(*) AS blocks FROM a JOIN p USING (passage_id) WHERE rank <= 5 AND text IS NOT NULL GROUP BY q)
+SELECT q, blocks, sha256('<retrieved_passages>' || chr(10) || body || chr(10) || '</retrieved_passages>' || chr(10) || chr(10) || 'Question: ' || o.text) AS prompt_sha256 FROM t JOIN p o ON o.passage_id = q""")
+def retrieval_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of each question over the five nearest passages in force, in rank order, as a digest."""
+    rows = passages(spark, sf_dir).where("text IS NOT NULL")
+    listed = _vector_list(spark, sf_dir, True, 5).join(rows.select("passage_id", "ref", c("text").alias("said")), "passage_id")
+    blocks = listed.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", c("ref").alias("source_ref"), c("said").alias("text")))).alias("blocks"))
+    asked = blocks.join(rows.select(c("passage_id").alias("q"), "text"), "q")
+    return asked.select("q", F.size("blocks").cast("bigint").alias("blocks"), F.sha2(answers.prompt(c("text"), c("blocks")), 256).alias("prompt_sha256"))
+
+
 # --- grades ---------------------------------------------------------------------------------------------------------------
 
 

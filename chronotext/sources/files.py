@@ -36,6 +36,14 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
+MANIFEST = ("source_doc", "source_ref", "refs", "kind", "published_at", "valid_from", "valid_to", "content_hash", "tokens")
+
+
+def write_manifest(chunks: DataFrame, path: str) -> None:
+    """What is known of each chunk but its text, as JSON; fails if ``path`` exists."""
+    write_once(chunks.select(*MANIFEST), path)
+
+
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
     """A table with one folder a value of ``by``, replaced as a whole."""
     df.write.mode("overwrite").partitionBy(*by).parquet(path)

@@ -151,6 +151,15 @@ def test_tables_are_reset_and_caches_kept(spark, tmp_path):
     assert files.exists(spark, a) and not files.exists(spark, str(tmp_path / "none"))
 
 
+def test_manifest_has_no_texts(spark, tmp_path):
+    row = ("core@1.4", "core@1.4:1", ["1"], "rule", None, None, None, "h", 3, "secret words")
+    df = spark.createDataFrame([row], "source_doc string, source_ref string, refs array<string>, kind string, published_at date, valid_from date, valid_to date, content_hash string, tokens int, text string")
+    files.write_manifest(df, str(tmp_path / "m"))
+    assert set(spark.read.json(str(tmp_path / "m")).columns) <= set(files.MANIFEST)
+    with pytest.raises(Exception):
+        files.write_manifest(df, str(tmp_path / "m"))
+
+
 def test_intermediate_tables_go_and_a_cluster_needs_a_shared_folder(spark):
     before = len(session._made)
     with session.temporary(spark):
