@@ -114,3 +114,11 @@ def test_ascii_texts_are_split_as_all_others_are():
         slow = [x for x in slow if not x.isspace()]
         if all(len(x.split()) <= toxicity.LONG for x in slow):
             assert toxicity.passages(text) == list(dict.fromkeys(slow)), text
+
+
+def test_no_text_is_sorted_to_draw_marked_documents(spark):
+    docs, marks = corpus(20)
+    d = spark.createDataFrame(docs, DOCS).select("doc_id", "text", "source")
+    plan = toxicity.labelled(d, spark.createDataFrame(marks, "doc_id bigint, rater string, toxic int"))._jdf.queryExecution().executedPlan().toString()
+    taken = [line for line in plan.splitlines() if "TakeOrdered" in line]
+    assert taken and not any("text" in line or "passage" in line for line in taken)
