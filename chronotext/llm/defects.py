@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from chronotext.session import materialize
 from chronotext.skew import salted_join
 
+#: Three-character sequences that a language's questions must have to be told by, characters of a text to be judged, and by how much the mean
+#: logarithm of the likelihood of another language must be above.
+ENOUGH, SHORTEST, CLEAR = 2_000, 30, 0.25
 #: In the order in which they are told where one defect is asked for.
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
 
@@ -154,7 +157,63 @@ def _asked(question: str) -> tuple[list[str], frozenset[str], str | None, float]
     return words, frozenset(words), *_language(words, plain)
 
 
-def votes(text: str | None, done_reason: str | None, question: str | None) -> dict[str, list[int | None]]:
+def _trigrams(bare: str) -> list[str]:
+    padded = f" {bare} "
+    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+
+
+class Profiles:
+    """How often each sequence of three characters stands in the questions of each language: a guess that needs no words known beforehand.
+
+    ``counts`` has (language, sequence, number). Languages with fewer than ENOUGH sequences are left out.
+    """
+
+    def __init__(self, counts: list[tuple[str, str, int]]):
+        totals: Counter[str] = Counter()
+        for language, _, n in counts:
+            totals[language] += n
+        self.languages = sorted(language for language, n in totals.items() if n >= ENOUGH)
+        column = {language: i for i, language in enumerate(self.languages)}
+        self.place: dict[str, int] = {}
+        for language, gram, _ in counts:
+            if language in column:
+                self.place.setdefault(gram, len(self.place))
+        table = np.full((len(self.place) + 1, len(self.languages)), 0.5)
+        for language, gram, n in counts:
+            if language in column:
+                table[self.place[gram], column[language]] += n
+        # The last row is for what no question has.
+        self.table = np.log(table / table.sum(0)).astype(np.float32) if self.languages else table
+
+    def speaks(self, bare: str, language: str | None) -> int | None:
+        """Whether a text of plain words is likelier another language than ``language`` (1) or not (0); None if that is open."""
+        if language not in self.languages or len(bare) < SHORTEST:
+            return None
+        unknown, place = len(self.place), self.place
+        mean = self.table[[place.get(g, unknown) for g in _trigrams(bare)]].mean(0)
+        own = float(mean[self.languages.index(language)])
+        best = float(mean.max())
+        return 1 if best > own + CLEAR else (0 if own >= best else None)
+
+
+def profiles(rulings: DataFrame) -> Profiles:
+    """``Profiles`` of all questions whose function words tell their language clearly; the table grows with alphabets, not with rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts: Counter[tuple[str, str]] = Counter()
+            for question in batch["question"]:
+                words, _, language, evidence = _asked(question)
+                if language in FUNCTION_WORDS and evidence >= 3:
+                    counts.update((language, g) for g in _trigrams(" ".join(words)))
+            yield pd.DataFrame([(language, g, n) for (language, g), n in counts.items()], columns=["language", "gram", "n"])
+
+    asked = rulings.select("question").where("question IS NOT NULL")
+    counted = asked.mapInPandas(run, "language string, gram string, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n"))
+    return Profiles([tuple(r) for r in counted.collect()])
+
+
+def votes(text: str | None, done_reason: str | None, question: str | None, known_languages: Profiles | None = None) -> dict[str, list[int | None]]:
     """For each defect what its functions say: 1 for, 0 against, None nothing."""
     plain = _plain(text or "")
     body = _LABELS.sub(" ", plain) if ":" in plain or "\uff1a" in plain else plain
@@ -215,17 +274,13 @@ def votes(text: str | None, done_reason: str | None, question: str | None) -> di
     else:
         own_words = left or words
         mine, sure = _language(own_words, body)
-        by_sentence: dict[str, int] = {}
-        for s, own in sentences:
-            if language := _language(own, s)[0]:
-                by_sentence[language] = by_sentence.get(language, 0) + max(len(own), len(s) // 6)
-        main = max(by_sentence, key=by_sentence.__getitem__) if by_sentence else None
         at_home = _BY_LANGUAGE.get(theirs, frozenset())
         home = sum(w in at_home for w in own_words) / len(own_words)
         foreign = _script(body)
         out["language"] = [
             None if not theirs or not mine or evidence < 1 or sure < 1 else int(mine != theirs),
-            None if not theirs or not main else int(main != theirs),
+            # Where the question's own function words are many, sequences would say the same again.
+            known_languages.speaks(" ".join(filter(str.isalpha, own_words)), theirs) if known_languages and home <= 0.2 else None,
             None if theirs not in FUNCTION_WORDS or len(own_words) < 5 else (1 if home < 0.1 else (0 if home > 0.2 else None)),
             None if not theirs else (int(foreign != theirs) if foreign or theirs in _SCRIPT else None),
         ]
@@ -297,11 +352,12 @@ def ballots(generations: DataFrame, rulings: DataFrame) -> DataFrame:
     asked = rulings.where("ruling_id IS NOT NULL").groupBy("ruling_id").agg(F.max("question").alias("question"))
     answers = generations.select("gen_id", "ruling_id", "text", "done_reason").where("gen_id IS NOT NULL")
     rows = salted_join(answers, asked, ["ruling_id"], F.col("gen_id"), "left").select("gen_id", "text", "done_reason", "question")
+    shared = generations.sparkSession.sparkContext.broadcast(profiles(asked))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = {1: "1", 0: "0", None: "-"}
         for batch in batches:
-            said = [votes(*(x if isinstance(x, str) else None for x in row)) for row in zip(batch["text"], batch["done_reason"], batch["question"])]
+            said = [votes(*(x if isinstance(x, str) else None for x in row), shared.value) for row in zip(batch["text"], batch["done_reason"], batch["question"])]
             yield pd.DataFrame({"gen_id": batch["gen_id"], **{d: ["".join(code[v] for v in s[d]) for s in said] for d in DEFECTS}})
 
     return rows.mapInPandas(run, "gen_id bigint, " + ", ".join(f"{d} string" for d in DEFECTS))

@@ -90,3 +90,16 @@ def test_a_name_is_no_refusal_and_an_echoed_question_no_answer():
     refusal = lambda text, q: defects.votes(text, "stop", q)["refusal"]
     assert not any(refusal("You cannot choose Rulanan again before scoring, but the lancer remains a legal target.", Q)[:5])
     assert refusal("¿Puede el mensajero bloquear dos veces? Prefiero no opinar.", None)[5] == 1
+
+
+def test_a_language_without_known_words_is_told_by_its_sequences(spark):
+    english = ["Does the warden block before the courier moves?", "May the herald pay two marks when the round is over?", "Which player takes the token if both of them pass?", "Can the lancer attack again after it was turned to the side?"] * 30
+    german = ["Darf der Wächter vor dem Boten blocken, wenn die Runde vorbei ist?", "Welche Karte nimmt der Spieler, der zuerst an der Reihe war?"] * 30
+    asked = spark.createDataFrame([(str(i), q) for i, q in enumerate(english + german)], "ruling_id string, question string")
+    known = defects.profiles(asked)
+    assert known.languages == ["de", "en"]
+    swedish, turkish = "spelaren tar tillbaka kortet eftersom rundan redan är slut", "oyuncu kartı geri alır çünkü tur zaten sona ermiştir"
+    assert known.speaks(turkish, "en") is None or known.speaks(turkish, "en") == 1
+    assert known.speaks(swedish, "en") == 1 and known.speaks("the courier moves after the warden was turned", "en") == 0
+    assert known.speaks("short", "en") is None and known.speaks(swedish, "fi") is None
+    assert defects.profiles(asked.limit(0)).speaks(swedish, "en") is None
