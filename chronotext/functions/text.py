@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # What counts as white space and as a quote when two texts are compared.
 BLANKS = r"[\s\u0085\p{Z}]+"
 CURLY = "‘’‚‛“”„‟"
-#: What ``canonical`` changes inside a text: blanks of other kinds, several blanks, curly quotes.
-ODD = rf"[\s\u0085\p{{Z}}{CURLY}&&[^ ]]|  "
+#: Texts that ``canonical`` leaves as they are: plain words of ASCII with single blanks between them.
+CLEAN = r"\A(?:[!-~]++ )*+[!-~]++\z"
 STRAIGHT = "''''\"\"\"\""
 
 
@@ -20,7 +20,7 @@ def collapse(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """``collapse`` with straight quotes: equal for texts that differ only in layout or in the kind of quotes."""
-    return F.when(text.rlike(ODD), collapse(F.translate(text, CURLY, STRAIGHT))).otherwise(F.trim(text))
+    return F.when(text.rlike(CLEAN), text).otherwise(collapse(F.translate(text, CURLY, STRAIGHT)))
 
 
 def words(text: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,21 +81,24 @@ def similar_texts(texts: DataFrame, by: list[str], threshold: float) -> DataFram
     return both.select(*by, "old_hash", "new_hash", jaccard(F.col("ga"), F.col("gb")).alias("sim")).where(F.col("sim") >= threshold)
 
 
-def _one_by_one(edges: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of one comparison, taken in descending order of similarity; ties go to the smaller hashes."""
-    used_old: dict[bytes, int] = {}
-    used_new: dict[bytes, int] = {}
-    taken = []
-    rows = sorted(zip(-edges["sim"], edges["old_hash"], edges["new_hash"], edges["n_old"], edges["n_new"], edges["at_old"], edges["at_new"]))
-    for less, old, new, n_old, n_new, at_old, at_new in rows:
-        i, j = used_old.get(old, at_old), used_new.get(new, at_new)
-        if (n := min(n_old - i, n_new - j)) > 0:
-            taken.append((old, new, -less, i, j, n))
-            used_old[old], used_new[new] = i + n, j + n
-    out = pd.DataFrame(taken, columns=["old_hash", "new_hash", "sim", "at_old", "at_new", "n"])
-    for c in ("snap", "doc"):
-        out.insert(0, c, edges[c].iloc[0])
-    return out
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole comparisons whose edges come one comparison after the other, each from the most similar edge down."""
+    comparison, used_old, used_new = None, {}, {}
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("doc", "snap", "old_hash", "new_hash", "n_old", "n_new", "at_old", "at_new")]
+        taken: list[int] = []
+        places: list[tuple[int, int, int]] = []
+        for row, (doc, snap, old, new, n_old, n_new, at_old, at_new) in enumerate(zip(*columns)):
+            if comparison != (doc, snap):
+                comparison, used_old, used_new = (doc, snap), {}, {}
+            i, j = used_old.get(old, at_old), used_new.get(new, at_new)
+            if (n := min(n_old - i, n_new - j)) > 0:
+                used_old[old], used_new[new] = i + n, j + n
+                taken.append(row)
+                places.append((i, j, n))
+        kept = batch.take(pa.array(taken, pa.int64()))
+        counts = [pa.array([p[k] for p in places], pa.int64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("doc", "snap", "old_hash", "new_hash", "sim")), *counts], ["doc", "snap", "old_hash", "new_hash", "sim", "at_old", "at_new", "n"])
 
 
 def _mutual_bests(left: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,7 +136,8 @@ def greedy_pairs(edges: DataFrame, group_edges: int = GROUP_EDGES) -> DataFrame:
         large = materialize(left.groupBy("doc", "snap").count().where(F.col("count") > group_edges).select("doc", "snap"))
         done = large.isEmpty()
         small = left if done else left.join(large, ["doc", "snap"], "left_anti")
-        settled.append(small.groupBy("doc", "snap").applyInPandas(_one_by_one, schema))
+        in_order = small.repartition("doc", "snap").sortWithinPartitions("doc", "snap", F.desc("sim"), "old_hash", "new_hash")
+        settled.append(in_order.mapInArrow(_one_by_one, schema))
         if done:
             return reduce(DataFrame.unionByName, settled)
         now, left = _mutual_bests(left.join(large, ["doc", "snap"]))

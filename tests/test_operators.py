@@ -57,7 +57,7 @@ def test_words_and_shingles(spark):
 
 
 def test_canonical_of_clean_and_odd_texts(spark):
-    cases = [("plain text", "plain text"), (" one blank ", "one blank"), ("a  b", "a b"), ("a\u00a0b", "a b"), ("a\u0085\u2003b\n", "a b"), ("it’s “so”", "it's \"so\""), ("", ""), ("\t", ""), (None, None)]
+    cases = [("plain text", "plain text"), (" one blank ", "one blank"), ("a  b", "a b"), ("a b\n", "a b"), ("a\nb", "a b"), ("a\u00a0b", "a b"), ("a\u0085\u2003b\n", "a b"), ("it’s “so”", "it's \"so\""), ("", ""), ("\t", ""), (None, None)]
     df = spark.createDataFrame(cases, "t string, want string")
     assert [r.got for r in df.withColumn("got", tx.canonical(F.col("t"))).collect()] == [w for _, w in cases]
 
