@@ -149,9 +149,13 @@ def _edit_share(a: str, b: str) -> float:
     return distance / max(len(a), len(b))
 
 
-@lru_cache(maxsize=8_192)
 def _asked(question: str) -> tuple[list[str], frozenset[str], str | None, float]:
-    """The words of a question, their set, its language and the evidence for that. A question is asked many times."""
+    """The words of a question, their set, its language and the evidence for that. A question is asked many times; long ones aren't remembered."""
+    return _remembered(question) if len(question) <= 1_000 else _remembered.__wrapped__(question)
+
+
+@lru_cache(maxsize=8_192)
+def _remembered(question: str) -> tuple[list[str], frozenset[str], str | None, float]:
     plain = _plain(question)
     words = _WORD.findall(plain)
     return words, frozenset(words), *_language(words, plain)

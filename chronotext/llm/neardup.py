@@ -47,9 +47,11 @@ def without_number(text: Column, number: Column) -> Column:
 
 def _word_hash(word: str) -> int:
     if (h := _hashes.get(word)) is None:
-        if len(_hashes) >= REMEMBERED:
-            _hashes.clear()
-        h = _hashes[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        if len(word) <= 40:
+            if len(_hashes) >= REMEMBERED:
+                _hashes.clear()
+            _hashes[word] = h
     return h
 
 

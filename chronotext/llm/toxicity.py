@@ -417,11 +417,12 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             held: list[str] = []
             owner: list[int] = []
             size = 0
-            for i, text in enumerate([*texts, None]):
-                for p in passages(text):
+            for i, p in ((i, p) for i, text in enumerate([*texts, None]) for p in [*passages(text), None]):
+                if p is not None:
                     held.append(p)
                     owner.append(i)
                     size += len(p)
+                # Long documents are scored in parts, short ones together.
                 if held and (size > 60_000 or i == len(texts)):
                     np.maximum.at(worst, np.array(owner), weighted(held, weights) + bias)
                     held, owner, size = [], [], 0
