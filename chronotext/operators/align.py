@@ -87,15 +87,15 @@ def align(old: DataFrame, new: DataFrame, by: Sequence[str], threshold: float =
     by = list(by)
     known = " AND ".join(f"{c} IS NOT NULL" for c in (*by, "number", "text"))
     hashed = lambda rows, side: rows.select(*by, "number", "text").where(known).withColumn("hash", F.unhex(F.md5("text"))).withColumn("old", F.lit(side))
-    full = hashed(old, True).unionByName(hashed(new, False))
+    full = materialize(hashed(old, True).unionByName(hashed(new, False)))
     rows = materialize(full.select(*by, "number", "hash", "old").distinct())
     exact = materialize(_paired_copies(rows, by))
     left = rows.where("old").select(*by, "number", "hash").join(exact.select(*by, F.col("old_number").alias("number"), "hash"), [*by, "number", "hash"], "left_anti")
     left = materialize(left)
     # Only editions in which something is left need their sequences.
     asked = left.select(*by, "hash").withColumn("old", F.lit(True)).unionByName(rows.where("NOT old").select(*by, "hash", "old").join(left.select(*by).distinct(), by, "left_semi")).distinct()
-    asked = materialize(asked)
-    texts = materialize(full.select("hash", "text").join(asked.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.any_value("text").alias("text")).select("hash", words(F.col("text")).alias("w")))
+    # Through a generator, so that the words are made once and not for each sequence.
+    texts = full.select("hash", "text").join(asked.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.any_value("text").alias("text")).select("hash", F.explode(F.array(words(F.col("text")))).alias("w"))
     made = materialize(asked.join(texts.select("hash", shingles(F.col("w")).alias("grams")), "hash"))
     edges = similar_texts(made, by, threshold)
     first = rows.where("NOT old").groupBy(*by, F.col("hash").alias("new_hash")).agg(F.min(F.struct(number_key(F.col("number")).alias("key"), "number")).alias("at"))
