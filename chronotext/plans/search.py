@@ -17,7 +17,6 @@ from chronotext.plans.registry import AS_OF, MODEL, OTHER_MODEL, OTHER_PREFIX, P
 query = Register()
 QUERIES, SQL = query.queries, query.sql
 DEPTH = 20
-DAY = F.lit(AS_OF).cast("date")
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOPWORDS)
 _IN_FORCE = f"valid_from <= DATE '{AS_OF}' AND (valid_to IS NULL OR DATE '{AS_OF}' < valid_to)"
 
@@ -38,7 +37,7 @@ def _cache_sql(name: str, model: str = MODEL, prefix: str = PREFIX) -> str:
 
 
 def _in_force() -> F.Column:
-    return temporal.in_force(DAY, c("valid_from"), c("valid_to"))
+    return temporal.in_force(F.lit(AS_OF).cast("date"), c("valid_from"), c("valid_to"))
 
 
 def _vector_list(spark: SparkSession, sf_dir: str, as_of: bool, depth: int, itself: bool = False) -> DataFrame:

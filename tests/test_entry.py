@@ -18,3 +18,13 @@ def test_nothing_outside_the_llm_folder_needs_it():
             for node in ast.walk(ast.parse(path.read_text())):
                 names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                 assert not any(n.startswith("chronotext.llm") for n in names), path
+
+
+def test_queries_and_sql_are_listed_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
+    assert said.returncode == 0 and len(said.stdout.split()) == 2, said.stderr
